@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontaminate, quality_crf, quality_rules, simhash, toxicity
 
 
 def queries() -> dict:
     found = [
         quality_rules.op1_quality_rules,
+        simhash.op3_simhash_near_dedup,
+        quality_crf.op5_quality_classifier,
+        toxicity.op8_toxicity,
+        decontaminate.op9_benchmark_decontamination,
     ]
     return {f.__name__: f for f in found}
 
