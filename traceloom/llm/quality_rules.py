@@ -87,10 +87,10 @@ def host_verdicts(measured: DataFrame, host: Column, rules: Rules = Rules(), pre
     per = measured.groupBy(F.coalesce(host, F.lit("")).alias("host")).agg(F.count("*").alias("docs"), F.sum(failures(rules, prefix)["any"].cast("long")).alias("fails"))
     per = cut(per, "hosts")
     raw = F.col("fails") / F.col("docs")
-    prior = per.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v"))
-    strength = F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.nullif(F.col("v"), F.lit(0.0)) - 1, F.lit(1.0))).otherwise(F.lit(1.0))
-    rate = (F.col("fails") + F.col("m") * strength) / (F.col("docs") + strength)
-    return per.join(F.broadcast(prior)).select("host", "docs", "fails", rate.alias("rate"), (rate <= rules.max_host_rate).alias("host_ok"))  # prior: one row
+    m, v = per.agg(F.avg(raw), F.var_pop(raw)).first()  # one row
+    strength = max(m * (1 - m) / v - 1, 1.0) if v else 1.0
+    rate = (F.col("fails") + (m or 0.0) * strength) / (F.col("docs") + strength)
+    return per.select("host", "docs", "fails", rate.alias("rate"), (rate <= rules.max_host_rate).alias("host_ok"))
 
 
 def judge(measured: DataFrame, verdicts: DataFrame, host: Column, rules: Rules = Rules(), prefix: str = "") -> DataFrame:
