@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_crf, quality_rules, simhash, toxicity
+from . import decontaminate, mixing, quality_crf, quality_rules, simhash, token_ids, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,8 +10,11 @@ def queries() -> dict:
         quality_rules.op1_quality_rules,
         simhash.op3_simhash_near_dedup,
         quality_crf.op5_quality_classifier,
+        mixing.op6_mixing,
+        warc.op7_warc,
         toxicity.op8_toxicity,
         decontaminate.op9_benchmark_decontamination,
+        token_ids.op10_token_ids,
     ]
     return {f.__name__: f for f in found}
 
