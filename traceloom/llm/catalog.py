@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality_crf, quality_rules, simhash, token_ids, toxicity, warc
+from . import decontaminate, lm_score, mixing, quality_crf, quality_rules, simhash, token_ids, toxicity, warc
 
 
 def queries() -> dict:
     found = [
         quality_rules.op1_quality_rules,
+        lm_score.op2_lm_scoring,
         simhash.op3_simhash_near_dedup,
         quality_crf.op5_quality_classifier,
         mixing.op6_mixing,
