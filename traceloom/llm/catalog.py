@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, mixing, quality_crf, quality_rules, simhash, token_ids, toxicity, warc
+from . import decontaminate, lm_score, mixing, quality_crf, quality_rules, simhash, suffix_dedup, token_ids, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         quality_rules.op1_quality_rules,
         lm_score.op2_lm_scoring,
         simhash.op3_simhash_near_dedup,
+        suffix_dedup.op4_suffix_array_dedup,
         quality_crf.op5_quality_classifier,
         mixing.op6_mixing,
         warc.op7_warc,
