@@ -2,47 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut, scratch_path, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "WORD", "checkpointed", "cut", "id_crc", "join_sized", "scratch_path", "shared_dir", "table"]
+
 #: A run of characters that is not an ASCII blank; the word of most contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a narrow table (keys and a few numbers) that may be broadcast; about 10 MB.
 BROADCAST_ROWS = 100_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in a local session without it a new one."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: later stages don't recompute it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder; unlike cut() it keeps df's partitioning."""
     shared_dir(df.sparkSession)
@@ -59,7 +35,3 @@ def join_sized(rows: DataFrame, side: DataFrame, on: list[str], how: str = "left
     adaptive execution splits a key that holds many rows."""
     small = side.limit(most + 1).count() <= most
     return rows.join(F.broadcast(side) if small else side, on, how)
-
-
-def tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
