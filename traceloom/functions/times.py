@@ -21,7 +21,7 @@ def parse_source_ts(text: Column) -> Column:
     """Numbers under 1e10 are seconds, others milliseconds; negative or unreadable ones are 0."""
     t = F.trim(text)
     n = t.try_cast("double").cast("long")
-    return F.coalesce(F.when(t.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.when(n < 0, F.lit(0)).when(n < 10_000_000_000, n * 1000).otherwise(n)).otherwise(_iso(t)), F.lit(0)).cast("long")
+    return F.coalesce(F.when(t.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), F.when(n < 0, F.lit(0)).when(n < 10_000_000_000, n * 1000).otherwise(n)).otherwise(_iso(t)), F.lit(0)).cast("long")
 
 
 def day(ms: Column) -> Column:
