@@ -22,8 +22,8 @@ def histogram(rows: DataFrame, ts: str, start: int, end: int, width: int, by: li
 
 def density(buckets: DataFrame, levels: int) -> DataFrame:
     """buckets with level: 0 where empty, else value * levels / most, rounded up."""
-    most = buckets.agg(F.max("value").alias("most"))
-    return buckets.join(F.broadcast(most)).withColumn("level", F.when((F.col("value") <= 0) | (F.col("most") <= 0), 0).otherwise(F.ceil(F.col("value") * F.lit(levels) / F.col("most"))).cast("int")).drop("most")  # most: one row
+    most = buckets.agg(F.max("value")).first()[0] or 0
+    return buckets.withColumn("level", F.when((F.col("value") <= 0) | F.lit(most <= 0), 0).otherwise(F.ceil(F.col("value") * levels / F.lit(max(most, 1)))).cast("int"))
 
 
 def stack(buckets: DataFrame, levels: int, group: str = "source") -> DataFrame:
@@ -31,8 +31,8 @@ def stack(buckets: DataFrame, levels: int, group: str = "source") -> DataFrame:
     w = Window.partitionBy("bucket").orderBy(F.desc("value"), group).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("bucket")
     b = buckets.withColumns({"_run": F.sum("value").over(w), "_all": F.sum("value").over(whole)})
-    most = b.agg(F.max("_all").alias("_most"))
-    b = b.join(F.broadcast(most)).withColumn("_level", F.ceil(F.col("_all") * levels / F.col("_most")))  # most: one row
+    most = b.agg(F.max("_all")).first()[0] or 1
+    b = b.withColumn("_level", F.ceil(F.col("_all") * levels / F.lit(most)))
     upto = lambda c: F.floor(c * F.col("_level") / F.col("_all"))
     return b.select("bucket", group, "value", (upto(F.col("_run")) - upto(F.col("_run") - F.col("value"))).cast("int").alias("cells"))
 

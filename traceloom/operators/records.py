@@ -66,9 +66,10 @@ def session_page(records: DataFrame, session_id: str, offset: int, limit: int, s
     own = records.filter(F.col("session_id") == session_id)
     if source_path is not None:
         own = own.filter(F.col("source_path") == source_path)
-    about = own.agg(F.count("*").alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    total, first, last = own.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
     page = own.orderBy(*ORDER).offset(offset).limit(limit)
-    return page.join(F.broadcast(about)).withColumn("next_offset", F.when(F.col("total") > offset + limit, offset + limit))  # about: one row
+    about = {"total": F.lit(total), "first_ts": F.lit(first), "last_ts": F.lit(last), "next_offset": F.lit(offset + limit if total > offset + limit else None).cast("int")}
+    return page.withColumns({k: v if k == "next_offset" else v.cast("long") for k, v in about.items()})
 
 
 def fields(df: DataFrame, names: list[str]) -> DataFrame:
