@@ -27,7 +27,8 @@ def test_hosts_are_shrunk_and_join_back(spark):
     rows = [(i, good, "good") for i in range(40)] + [(100 + i, "bad", "worst") for i in range(40)] + [(200, "bad", "tiny"), (201, good, None), (202, good, "worst")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     m = q.measure(docs, "text")
-    v = {r.host: r for r in q.host_verdicts(m, m.source).collect()}
+    assert m.columns[:2] == ["doc_id", "source"]
+    v = {r.host: r for r in q.host_verdicts(m.select(m.source.alias("host"), q.failures(lambda k: m[k])["any"].alias("failed"))).collect()}
     assert v["worst"].host_ok is False and v["good"].host_ok is True and v[""].docs == 1
     assert v["tiny"].rate < 1.0 and 0 < v["good"].rate < 0.1
     kept = {r.doc_id for r in q.filter_documents(docs).collect()}

@@ -31,6 +31,11 @@ class Rules:
     max_host_rate: float = 0.5  # a host with a shrunk failure rate above is rejected
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def _gram(words: Column, i: Column) -> Column:
     return F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
@@ -42,49 +47,62 @@ def _same(sorted_: Column, x: Column, j: Column, key) -> Column:
     return F.coalesce(key(before) == key(x), F.lit(False)) | F.coalesce(key(after) == key(x), F.lit(False))
 
 
-def measure(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    """Adds {prefix}n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long).
+def _repeated(w: Column) -> Column:
+    """Words in 3-word windows that occur twice or more.
 
-    Repeated windows: a window's 32-bit hash and its place are packed in one long, so that sorting brings equal
-    hashes together; only windows with an equal neighbour are then compared as text, so the count is exact.
+    A window's 32-bit hash and its place are packed in one long, so that sorting brings equal hashes together; only
+    windows with an equal neighbour are then compared as text, so the count is exact.
     """
-    p, t = prefix, F.coalesce(F.col(text), F.lit(""))
-    w, packed, near, at = (F.col(f"{p}__{k}") for k in ("w", "packed", "near", "at"))
     bits = 2**31
-    df = docs.withColumn(f"{p}__w", F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1)))
-    df = df.withColumn(f"{p}__packed", F.sort_array(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.hash(x, F.get(w, i + 1), F.get(w, i + 2)).cast("long") * bits + i)))
-    df = df.withColumn(f"{p}__near", F.transform(F.filter(packed, lambda x, j: _same(packed, x, j, lambda y: F.shiftright(y, 31))), lambda x: x.bitwiseAND(F.lit(_IDX).cast("long")).cast("int")))
-    df = df.withColumn(f"{p}__near", F.sort_array(F.transform(near, lambda i: F.struct(_gram(w, i).alias("g"), i.alias("i")))))
-    df = df.withColumn(f"{p}__at", F.sort_array(F.transform(F.filter(near, lambda x, j: _same(near, x, j, lambda y: y["g"])), lambda x: x["i"])))
-    covered = F.aggregate(F.transform(at, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    df = df.withColumn(f"{p}__lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
-    lines = F.col(f"{p}__lines")
-    return df.withColumns({
-        f"{p}n_words": F.size(w).cast("long"),
-        f"{p}word_chars": F.length(F.array_join(w, "")).cast("long"),
-        f"{p}n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-        f"{p}n_lines": F.size(lines).cast("long"),
-        f"{p}n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        f"{p}n_repeat_words": covered,
-    }).drop(*(f"{p}__{k}" for k in ("w", "packed", "near", "at", "lines")))
-
-
-def failures(rules: Rules = Rules(), prefix: str = "") -> dict[str, Column]:
-    """base: too short or too repetitive; any: one of all rules."""
-    c = lambda k: F.col(prefix + k)
-    base = (c("n_words") < rules.min_words) | (100 * c("n_repeat_words") > F.lit(round(100 * rules.max_repeat)) * c("n_words"))
-    symbols = c("n_symbols") > rules.max_symbols * c("word_chars")
-    lines = c("n_dup_lines") > rules.max_dup_lines * c("n_lines")
-    return {"base": base, "rest": symbols | lines, "any": base | symbols | lines}
-
-
-def host_verdicts(measured: DataFrame, host: Column, rules: Rules = Rules(), prefix: str = "") -> DataFrame:
-    """host, docs, fails, rate (shrunk), host_ok; one row a host.
+    packed = F.sort_array(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.hash(x, F.get(w, i + 1), F.get(w, i + 2)).cast("long") * bits + i))
+    place = lambda x: x.bitwiseAND(F.lit(_IDX).cast("long")).cast("int")
+
+    def texts(p: Column) -> Column:
+        near = F.filter(p, lambda x, j: _same(p, x, j, lambda y: F.shiftright(y, 31)))
+        return F.sort_array(F.transform(near, lambda x: F.struct(_gram(w, place(x)).alias("g"), place(x).alias("i"))))
+
+    def places(n: Column) -> Column:
+        return F.sort_array(F.transform(F.filter(n, lambda x, j: _same(n, x, j, lambda y: y["g"])), lambda x: x["i"]))
+
+    def covered(at: Column) -> Column:
+        return F.aggregate(F.transform(at, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return _let(packed, lambda p: _let(texts(p), lambda n: _let(places(n), covered)))
+
+
+def measures(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long)."""
+    t = F.coalesce(text, F.lit(""))
+    words = _let(F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1)), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated(w).alias("n_repeat_words"),
+    ))
+    lines = _let(F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
+    return _let(F.struct(words.alias("w"), lines.alias("l")), lambda m: F.struct(
+        m["w"]["n_words"].alias("n_words"), m["w"]["word_chars"].alias("word_chars"), F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        m["l"]["n"].alias("n_lines"), m["l"]["dup"].alias("n_dup_lines"), m["w"]["n_repeat_words"].alias("n_repeat_words"),
+    ))
+
+
+def measure(docs: DataFrame, text: str) -> DataFrame:
+    """docs without the text, with its measures."""
+    return docs.withColumn("_measures", measures(F.col(text))).select(*(c for c in docs.columns if c != text), "_measures.*")
+
+
+def failures(of, rules: Rules = Rules()) -> dict[str, Column]:
+    """base: too short or too repetitive; any: one of all rules. of(name) is a measure."""
+    base = (of("n_words") < rules.min_words) | (100 * of("n_repeat_words") > F.lit(round(100 * rules.max_repeat)) * of("n_words"))
+    symbols = of("n_symbols") > rules.max_symbols * of("word_chars")
+    lines = of("n_dup_lines") > rules.max_dup_lines * of("n_lines")
+    return {"base": base, "any": base | symbols | lines}
+
+
+def host_verdicts(judged: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """judged: host, failed. Returns host, docs, fails, rate (shrunk), host_ok; one row a host.
 
     The prior's two parameters are the moments of the hosts' rates: with mean m and variance v they sum to
     m(1-m)/v - 1, at least 1. Where all rates are equal, the rate stays as it is.
     """
-    per = measured.groupBy(F.coalesce(host, F.lit("")).alias("host")).agg(F.count("*").alias("docs"), F.sum(failures(rules, prefix)["any"].cast("long")).alias("fails"))
+    per = judged.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("docs"), F.sum(F.col("failed").cast("long")).alias("fails"))
     per = cut(per, "hosts")
     raw = F.col("fails") / F.col("docs")
     m, v = per.agg(F.avg(raw), F.var_pop(raw)).first()  # one row
@@ -93,24 +111,21 @@ def host_verdicts(measured: DataFrame, host: Column, rules: Rules = Rules(), pre
     return per.select("host", "docs", "fails", rate.alias("rate"), (rate <= rules.max_host_rate).alias("host_ok"))
 
 
-def judge(measured: DataFrame, verdicts: DataFrame, host: Column, rules: Rules = Rules(), prefix: str = "") -> DataFrame:
-    """Adds {prefix}base_failed, {prefix}kept, {prefix}host_rate."""
-    side = verdicts.select(F.col("host").alias(f"{prefix}__host"), F.col("rate").alias(f"{prefix}host_rate"), F.col("host_ok").alias(f"{prefix}__ok"))
-    f = failures(rules, prefix)
-    df = join_sized(measured.withColumn(f"{prefix}__host", F.coalesce(host, F.lit(""))), side, [f"{prefix}__host"])
-    return df.withColumns({f"{prefix}base_failed": f["base"], f"{prefix}kept": ~f["any"] & F.col(f"{prefix}__ok")}).drop(f"{prefix}__host", f"{prefix}__ok")
-
-
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs. Texts are read twice and never shuffled."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("q_text"))
-    of = F.col("row").getField(host)
-    verdicts = host_verdicts(measure(docs.select(F.col(text).alias("q_text"), F.col(host).alias("q_host")), "q_text", "q_"), F.col("q_host"), rules, "q_")
-    return judge(measure(rows, "q_text", "q_"), verdicts, of, rules, "q_").filter("q_kept").select("row.*")
+    failed = _let(measures(F.col(text)), lambda m: failures(lambda k: m[k], rules)["any"])
+    good = host_verdicts(docs.select(F.col(host).alias("host"), failed.alias("failed")), rules).filter("host_ok").select(F.col("host").alias("q_host"), F.lit(True).alias("q_ok"))
+    rows = docs.filter(~failed).select(F.struct("*").alias("row"), F.coalesce(F.col(host), F.lit("")).alias("q_host"))
+    return join_sized(rows, good, ["q_host"], "inner").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    seen = cut(measure(docs, "text").drop("text"), "measures")
-    out = judge(seen, host_verdicts(seen, F.col("source")), F.col("source"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
+    seen = cut(measure(docs, "text"), "measures")
+    fails = failures(F.col)
+    hosts = host_verdicts(seen.select(F.col("source").alias("host"), fails["any"].alias("failed"))).select(F.col("host").alias("q_host"), "rate", "host_ok")
+    out = join_sized(seen.withColumn("q_host", F.coalesce("source", F.lit(""))), hosts, ["q_host"])
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", fails["base"].alias("base_failed"),
+        (~fails["any"] & F.col("host_ok")).alias("kept"), F.round("rate", 6).alias("host_rate"),
+    )
