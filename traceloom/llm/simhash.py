@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_by_weight, table
 from .components import components, contract
 
 SHINGLE = 3
@@ -166,26 +166,28 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def classes(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """prints: id, fp. Returns fp, component_id (the smallest id reachable); one row for each distinct fp."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    """prints: id, fp. Returns fp, copies (rows with it), component_id (the smallest id reachable); one row for each
+    distinct fp."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "distinct")
     found = components(links(distinct.select("fp"), bits))
     linked = found.select(F.col("node").alias("fp"), "root").union(found.select(F.col("root").alias("fp"), "root").distinct())
     linked = linked.join(distinct, "fp")
     lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
-    return distinct.join(linked.join(lowest, "root").select("fp", "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+    out = distinct.join(linked.join(lowest, "root").select("fp", "lowest"), "fp", "left")
+    return cut(out.select("fp", "copies", F.coalesce("lowest", "least").alias("component_id")), "classes")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (hex), component_id; a row for each of docs."""
     prints = cut(fingerprints(docs.select(doc_id, text), text, size).select(F.col(f"row.{doc_id}").alias("id"), "fp"), "prints")
-    out = prints.join(classes(prints, bits), "fp")
+    out = join_by_weight(prints, classes(prints, bits), "fp", "copies")
     return out.select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """Of each component the row with the smallest id (of repeated rows any one), with the columns of docs."""
     prints = cut(fingerprints(docs.select(doc_id, text), text, size).select(F.col(f"row.{doc_id}").alias("id"), "fp"), "prints")
-    member = prints.join(classes(prints, bits), "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
+    member = join_by_weight(prints, classes(prints, bits), "fp", "copies").filter(F.col("id").eqNullSafe(F.col("component_id")))
     # equal ids under one component, or only null ones: the smallest fingerprint stays
     winner = member.groupBy(F.col("component_id").alias("winner")).agg(F.min("fp").alias("winner_fp"))
     nulls = member.filter("component_id is null").select("fp")
