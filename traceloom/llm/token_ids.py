@@ -11,7 +11,7 @@ Texts are dealt in ranges of the id, encoded and written in that order; a task's
 under a name of its own attempt, and only files of finished tasks are in the manifest.
 
 Encoding: where a blank follows a character that is none, the byte-level tokenizer always starts a new piece, so a text
-is cut there and each distinct piece is encoded once and kept (at most `KEPT` pieces, then the cache starts anew).
+is cut there, and a piece that was met before is not encoded again (a bounded cache, `Encoder`).
 
 Defined results: null text is empty and has the end id alone; null ids come last; equal ids are ordered by the text's
 hash, then by the text; an empty table writes no file.
@@ -24,6 +24,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +37,9 @@ from .common import checkpointed, scratch_path, table
 
 MAGIC = b"S8BTOK01"
 BLOCK = 1 << 16
-KEPT = 500_000
+KEPT = 400_000
 #: Ids in a word and bits of each, by selector. Selector 0 is the escape, 1 is unused.
 SELECTORS = {2: (60, 1), 3: (30, 2), 4: (20, 3), 5: (15, 4), 6: (12, 5), 7: (10, 6), 8: (8, 7), 9: (7, 8), 10: (6, 10), 11: (5, 12), 12: (4, 15), 13: (3, 20), 14: (2, 30), 15: (1, 60)}
-_GAP = re.compile(r"\s[ \n]")
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -106,25 +106,37 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def rough(text: str) -> list[str]:
+    """text cut before each space and line feed; only where no blank comes before do the cuts hold."""
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+
 def pieces(text: str) -> list[str]:
-    """text in pieces whose encodings make up that of text."""
-    if "\0" in text:
-        found = re.split(r"(?=[ \n])", text)
-    else:
-        found = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-    if _GAP.search(text):
-        out: list[str] = []
-        for p in found:
-            if out and out[-1][-1:].isspace():
-                out[-1] += p
-            else:
-                out.append(p)
-        found = out
-    return [p for p in found if p] if "" in found else found
+    """text in pieces whose encodings make up that of text; only the last may end with a blank."""
+    out: list[str] = []
+    for p in re.split(r"(?=[ \n])", text):
+        if out and out[-1][-1:].isspace():
+            out[-1] += p
+        elif p:
+            out.append(p)
+    return out
+
+
+def holes(found: list) -> list[int]:
+    """Places of None."""
+    out, j = [], -1
+    for _ in range(found.count(None)):
+        j = found.index(None, j + 1)
+        out.append(j)
+    return out
 
 
 class Encoder:
-    """Texts to ids (4 bytes each, little-endian)."""
+    """Texts to ids (4 bytes each, little-endian).
+
+    Encoded pieces are kept in two generations of KEPT each: when the younger is full, it becomes the older one, and
+    the pieces that had not been met again since are forgotten.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,17 +144,58 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        new = list(set().union(*cut) - self.kept.keys())
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = list(set().union(*cut))
+    def _learn(self, new: list[str]) -> None:
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.kept[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.kept.__getitem__, c)) for c in cut]
+            self.young[p] = array("I", e.ids).tobytes()
+
+    def _meet(self, missing: set[str]) -> None:
+        """A comma or full stop behind a letter or digit is a piece of its own to the tokenizer, too."""
+        young, old = self.young, self.old
+        new, ending = set(), []
+        for p in missing:
+            if p in old:
+                young[p] = old[p]
+            elif p[-1] in ".," and len(p) > 1 and p[-2].isalnum():
+                ending.append(p)
+                for part in (p[:-1], p[-1]):
+                    if part not in young:
+                        if part in old:
+                            young[part] = old[part]
+                        else:
+                            new.add(part)
+            else:
+                new.add(p)
+        self._learn(list(new))
+        for p in ending:
+            young[p] = young[p[:-1]] + young[p[-1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut, met, gaps, missing = [], [], [], set()
+        for t in texts:
+            c = pieces(t) if "\0" in t else rough(t)
+            m = list(map(self.young.get, c))
+            gap = holes(m)
+            if any(not c[j] or c[j][-1].isspace() for j in gap):  # such pieces are never kept, so that they show here
+                c = pieces(t)
+                m = list(map(self.young.get, c))
+                gap = holes(m)
+            missing.update(c[j] for j in gap)
+            cut.append(c)
+            met.append(m)
+            gaps.append(gap)
+        if missing:
+            blank = sorted(p for p in missing if p[-1].isspace())
+            last = {p: array("I", e.ids).tobytes() for p, e in zip(blank, self.tokenizer.encode_batch_fast(blank, add_special_tokens=False), strict=True)}
+            self._meet(missing - last.keys())
+            for c, m, gap in zip(cut, met, gaps, strict=True):
+                for j in gap:
+                    m[j] = last[c[j]] if c[j] in last else self.young[c[j]]
+        if len(self.young) > KEPT:
+            self.young, self.old = {}, self.young
+        return [b"".join(m) for m in met]
 
 
 _encoders: dict[str, Encoder] = {}  # one in each worker process
