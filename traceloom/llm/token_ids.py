@@ -37,18 +37,24 @@ from .common import checkpointed, scratch_path, table
 
 MAGIC = b"S8BTOK01"
 BLOCK = 1 << 16
-KEPT = 400_000
+KEPT = 500_000
 #: Ids in a word and bits of each, by selector. Selector 0 is the escape, 1 is unused.
 SELECTORS = {2: (60, 1), 3: (30, 2), 4: (20, 3), 5: (15, 4), 6: (12, 5), 7: (10, 6), 8: (8, 7), 9: (7, 8), 10: (6, 10), 11: (5, 12), 12: (4, 15), 13: (3, 20), 14: (2, 30), 15: (1, 60)}
 
 
+_WIDTH = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)  # bits of small ids
+
+
 def pack(ids: np.ndarray) -> np.ndarray:
     """Words of ids (unsigned). At each place the selector that takes the most ids."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n = len(ids)
     if not n:
         return ids
-    width = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)  # bits; one too many above 2**53 does no harm
+    if ids.max() < len(_WIDTH):
+        width = _WIDTH[ids]
+    else:
+        width = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)  # bits; one too many above 2**53 does no harm
     best = np.where(width <= 60, 15, 0).astype(np.uint8)
     widest, reach = width.copy(), 1
     for s, (k, bits) in sorted(SELECTORS.items(), reverse=True)[1:]:
@@ -284,6 +290,7 @@ def write_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end: i
         store.create_dir(base, recursive=True)
         task = TaskContext.get()
         path = f"{base}/{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.s8b"
+        last = np.array([end], dtype="<u4").tobytes()
         coder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         out = None
         for batch in batches:
@@ -291,7 +298,7 @@ def write_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end: i
                 part = batch.slice(k, 256)
                 out = out or TokenFile(store.open_output_stream(path))
                 for i, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
-                    out.add(i, np.append(np.frombuffer(ids, "<u4"), np.uint32(end)))
+                    out.add(i, np.frombuffer(ids + last, "<u4"))
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([len(out.docs)], pa.int64()), pa.array([out.ids], pa.int64())], ["part", "path", "docs", "ids"])
