@@ -11,7 +11,7 @@ input, not on what is left. Equal texts are taken once, with their number. Then:
 4. A key with over `CROWD` distinct stretches is first cut up by longer grams, at last by whole windows.
 5. The runs found go back to all places of their stretch, and each text is put together from what remains.
 
-Texts are shuffled once, by their digest, and kept in the shared folder with that partitioning.
+Texts are shuffled once, by their digest, and kept in the shared folder as a table in buckets of it.
 
 Defined results: null text is empty, and an empty text has nothing removed; texts shorter than the window stay whole;
 repeated rows count as places of their own.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, cut, table
+from .common import bucketed, cut, table
 from .suffixes import mix, regions, repeated
 
 WINDOW = 400
@@ -43,7 +43,7 @@ def distinct_texts(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     digest = F.unhex(F.md5(data))
     rows = docs.select(F.struct(*(c for c in docs.columns if c != text)).alias("row"), digest.alias("digest"))
     whole = docs.select(digest.alias("digest"), data.alias("data")).groupBy("digest").agg(F.first("data").alias("data"), F.count("*").alias("copies"))
-    return rows, checkpointed(whole)
+    return rows, bucketed(whole, "digest", "texts")
 
 
 def places(texts: DataFrame, window: int) -> DataFrame:
@@ -64,9 +64,9 @@ def places(texts: DataFrame, window: int) -> DataFrame:
 
 def contents(found: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     """key, stretch, times, data: the distinct stretches of each key that has two places or more, in one stretch or not."""
-    each = found.groupBy("key", "stretch").agg(F.sum("copies").alias("times"), F.max("again").alias("again"), F.min(F.struct("digest", "first", "starts")).alias("at"))
-    keys = each.groupBy("key").agg(F.sum("times").alias("n"), F.max("again").alias("again")).filter("n > 1 or again > 0").select("key")
-    wanted = each.join(keys, "key").groupBy(F.col("at.digest").alias("digest")).agg(F.collect_list(F.struct("key", "stretch", "times", "at.first", "at.starts")).alias("wanted"))  # within one text
+    keys = found.groupBy("key").agg(F.sum("copies").alias("n"), F.max("again").alias("again")).filter("n > 1 or again > 0").select("key")
+    each = found.join(keys, "key", "left_semi").groupBy("key", "stretch").agg(F.sum("copies").alias("times"), F.min(F.struct("digest", "first", "starts")).alias("at"))
+    wanted = each.groupBy(F.col("at.digest").alias("digest")).agg(F.collect_list(F.struct("key", "stretch", "times", "at.first", "at.starts")).alias("wanted"))  # within one text
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
