@@ -11,7 +11,8 @@ Texts are dealt in ranges of the id, encoded and written in that order; a task's
 under a name of its own attempt, and only files of finished tasks are in the manifest.
 
 Encoding: where a blank follows a character that is none, the byte-level tokenizer always starts a new piece, so a text
-is cut there, and a piece that was met before is not encoded again (a bounded cache, `Encoder`).
+is cut there, and a piece that was met before is not encoded again (a bounded cache, `Encoder`). Special tokens in a
+text are ids of their own, as the library has it by default.
 
 Defined results: null text is empty and has the end id alone; null ids come last; equal ids are ordered by the text's
 hash, then by the text; an empty table writes no file.
@@ -141,15 +142,19 @@ class Encoder:
     """Texts to ids (4 bytes each, little-endian).
 
     Encoded pieces are kept in two generations of KEPT each: when the younger is full, it becomes the older one, and
-    the pieces that had not been met again since are forgotten.
+    the pieces that had not been met again since are forgotten. With `special`, special tokens in a text are told apart,
+    as by the library's default; without it, they are text like any other. Where a special token could reach over a cut,
+    texts are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = any(a.lstrip or a.rstrip or a.single_word or a.content[-1:] in ".," or any(c.isspace() for c in a.content) for a in added)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -179,6 +184,8 @@ class Encoder:
             young[p] = young[p[:-1]] + young[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.whole:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         cut, met, gaps, missing = [], [], [], set()
         for t in texts:
             c = pieces(t) if "\0" in t else rough(t)
@@ -291,7 +298,7 @@ def write_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end: i
         task = TaskContext.get()
         path = f"{base}/{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.s8b"
         last = np.array([end], dtype="<u4").tobytes()
-        coder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
+        coder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer, special=True))
         out = None
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
