@@ -62,15 +62,31 @@ def test_repeated_windows_equal_brute_force():
             assert hit.tolist() == [seen[t[i : i + W]] > 1 for i in range(len(t) - W + 1)]
 
 
+def test_no_hash_decides_what_is_equal(monkeypatch):
+    """With one hash for all bytes borders stand everywhere, and the result is the same."""
+    r = random.Random(5)
+    passage = bytes(r.choice(b"abc ") for _ in range(450))
+    own = lambda n, end: bytes(r.choice(b"abc ") for _ in range(n)) + end
+    got = [own(499, b"%d" % k) + passage + b"%d" % k + own(r.randrange(90), b"") for k in range(4)]
+    got += [passage[:399] + b"x" * 80, passage[:400], bytes(900), bytes(450) + b"y"]
+    plain = [tuple(map(np.ndarray.tolist, x)) for x in s.repeated(got, [1] * len(got), W)]
+    monkeypatch.setattr(s, "mix", lambda h: np.zeros(len(h), np.uint64))
+    assert [tuple(map(np.ndarray.tolist, x)) for x in s.repeated(got, [1] * len(got), W)] == plain
+    assert plain[0] == ([500], [551]) and plain[5] == ([0], [1]) and plain[6] == ([0], [501]) and plain[7] == ([0], [51])
+
+
 def test_documents_equal_brute_force(spark):
     t = texts()
     docs = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(3)
     want = brute(t)
-    for crowd in (d.CROWD, 3):  # without and with crowded keys
+    for crowd in (d.CROWD, 3, 1):  # without and with crowded keys, down to windows
         got = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in d.dedup(docs, "text", crowd=crowd).collect()}
         assert [got[i] for i in range(len(t))] == want
 
 
 def test_empty_table_and_clashing_names(spark):
-    docs = spark.createDataFrame([], "doc_id long, text string, digest int, key string")
-    assert d.dedup(docs, "text").count() == 0
+    schema = "doc_id long, text string, digest int, key string, data int, runs string, row int, kept int"
+    assert d.dedup(spark.createDataFrame([], schema), "text").count() == 0
+    rows = [(1, "a" * 450, 1, "k", 2, "r", 3, 4), (None, "b" * 500 + "c", 5, None, None, None, None, None), (1, "a" * 450, 6, "k", 2, "r", 3, 4)]
+    got = sorted((r.row.digest, r.row.key, r.row.row, r.row.kept, r.n_bytes, r.n_removed, bytes(r.kept)) for r in d.dedup(spark.createDataFrame(rows, schema), "text").collect())
+    assert got == [(1, "k", 3, 4, 450, 450, b""), (5, None, None, None, 501, 500, b"c"), (6, "k", 3, 4, 450, 450, b"")]

@@ -6,15 +6,19 @@ input, not on what is left. Equal texts are taken once, with their number. Then:
 1. The windows of a text are cut into stretches that share the least hash of their 64-byte grams. Equal windows share
    it wherever they stand, so all that may be equal meets under one key, without any pair being formed.
 2. Keys of one stretch alone are done. Of the others each distinct stretch is fetched from its text once.
-3. A task takes whole keys of about `BATCH` bytes, sorts their suffixes by Lyndon-prefix groups (`suffixes`) and
-   compares the windows of neighbours.
-4. A key with over `CROWD` distinct stretches is first cut up by longer grams, at last by whole windows.
+3. A task takes whole keys of about `BATCH` bytes and sorts their suffixes by Lyndon-prefix groups (`suffixes`); what
+   sorted neighbours share, byte by byte, tells which windows occur elsewhere.
+4. A key with over `CROWD` distinct stretches is first cut up by longer grams, at last into windows. Pieces are kept
+   as places in their stretch; only of those that may repeat the bytes are fetched, of each distinct one once.
 5. The runs found go back to all places of their stretch, and each text is put together from what remains.
 
 Texts are shuffled once, by their digest, and kept in the shared folder as a table in buckets of it.
 
 Defined results: null text is empty, and an empty text has nothing removed; texts shorter than the window stay whole;
-repeated rows count as places of their own.
+repeated rows count as places of their own; a text of any length is one value in a task, with about thirty bytes for each
+of its own while it is cut; columns of any other name pass untouched in `row`.
+
+Texts, and stretches under one key, are known by 128-bit hashes; all else is decided by the bytes themselves.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from .suffixes import mix, regions, repeated
 WINDOW = 400
 GRAMS = (64, 256, 384)  # by level; the next is the window itself
 BATCH = 1_000_000
-CROWD = 4_096
+CROWD = 1_024
 STRETCH = "key long, stretch long"
 
 
@@ -62,11 +66,12 @@ def places(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("digest", "data", "copies").filter(F.length("data") >= window).mapInArrow(cut_batches, f"{STRETCH}, digest binary, first long, starts long, copies long, again long")
 
 
-def contents(found: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """key, stretch, times, data: the distinct stretches of each key that has two places or more, in one stretch or not."""
+def contents(found: DataFrame, source: DataFrame, ids: list[str], window: int) -> DataFrame:
+    """key, stretch, times, data: the distinct stretches of each key that has two places or more, in one stretch or not.
+    found: where they stand; source: ids, data."""
     keys = found.groupBy("key").agg(F.sum("copies").alias("n"), F.max("again").alias("again")).filter("n > 1 or again > 0").select("key")
-    each = found.join(keys, "key", "left_semi").groupBy("key", "stretch").agg(F.sum("copies").alias("times"), F.min(F.struct("digest", "first", "starts")).alias("at"))
-    wanted = each.groupBy(F.col("at.digest").alias("digest")).agg(F.collect_list(F.struct("key", "stretch", "times", "at.first", "at.starts")).alias("wanted"))  # within one text
+    each = found.join(keys, "key", "left_semi").groupBy("key", "stretch").agg(F.sum("copies").alias("times"), F.min(F.struct(*ids, "first", "starts")).alias("at"))
+    wanted = each.groupBy(*(F.col(f"at.{c}").alias(c) for c in ids)).agg(F.collect_list(F.struct("key", "stretch", "times", "at.first", "at.starts")).alias("wanted"))  # within one text
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +87,7 @@ def contents(found: DataFrame, texts: DataFrame, window: int) -> DataFrame:
                         rows, size = [], 0
             yield _batch(rows)
 
-    return texts.select("digest", "data").join(wanted, "digest").select("data", "wanted").mapInArrow(fetch, f"{STRETCH}, times long, data binary")
+    return source.select(*ids, "data").join(wanted, ids).select("data", "wanted").mapInArrow(fetch, f"{STRETCH}, times long, data binary")
 
 
 def _batch(rows: list) -> pa.RecordBatch:
@@ -117,36 +122,39 @@ def sort_and_compare(held: DataFrame, window: int) -> DataFrame:
 
 
 def marks(held: DataFrame, window: int, level: int = 0, crowd: int = CROWD) -> DataFrame:
-    """As sort_and_compare; crowded keys are cut up by longer grams first."""
-    if level == len(GRAMS):  # stretches of one window each: those under a key are copies or, but for a clash, alone
-        return sort_and_compare(held, window)
-    crowded = held.groupBy("key").count().filter(F.col("count") > crowd).select("key")
-    crowded = cut(crowded, "crowded")
+    """As sort_and_compare; crowded keys are cut up by longer grams first, at last into windows, whose equality 128 bits
+    of hashes tell."""
+    crowded = cut(held.groupBy("key").count().filter(F.col("count") > crowd).select("key"), "crowded")
     if crowded.isEmpty():
         return sort_and_compare(held, window)
     plain = sort_and_compare(held.join(crowded, "key", "left_anti"), window)
-    gram = [*GRAMS, window][level + 1]
+    gram = min([*GRAMS, window][level + 1], window)
+    parents = {"of_key": "key", "of_stretch": "stretch"}
 
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "stretch", "of_key", "of_stretch", "first", "starts", "copies", "again"]
         for batch in batches:
-            out = []
+            out: list[list[np.ndarray]] = [[] for _ in names]
             for key, stretch, times, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a = np.frombuffer(data, dtype=np.uint8)
-                low, whole, first, starts, _ = regions(a, window, min(gram, window))
+                low, whole, first, starts, again = regions(np.frombuffer(data, dtype=np.uint8), window, gram)
+                if gram == window:  # the windows of a stretch are one string, again and again
+                    whole = np.array([int.from_bytes(hashlib.md5(data[f : f + window]).digest()[:8]) for f in first.tolist()], dtype=np.uint64)
                 low = mix(low ^ np.uint64(key % 2**64))
-                for k, w, f, n in zip(low.view(np.int64).tolist(), whole.view(np.int64).tolist(), first.tolist(), starts.tolist(), strict=True):
-                    out.append((k, w, times, data[f : f + n + window - 1], key, stretch, f))
-            kinds = {"key": pa.int64(), "stretch": pa.int64(), "times": pa.int64(), "data": pa.binary(), "of_key": pa.int64(), "of_stretch": pa.int64(), "offset": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], list(kinds))
+                n = len(low)
+                for x, y in zip(out, (low.view(np.int64), whole.view(np.int64), np.full(n, key), np.full(n, stretch), first, starts, np.full(n, times), again.astype(np.int64)), strict=True):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], names)
 
-    pieces = held.join(crowded, "key", "left_semi").select("key", "stretch", "times", "data").mapInArrow(cut_batches, f"{STRETCH}, times long, data binary, of_key long, of_stretch long, offset long")
+    pieces = held.join(crowded, "key", "left_semi").select("key", "stretch", "times", "data").mapInArrow(cut_batches, ", ".join(f"{c} long" for c in ("key", "stretch", *parents, "first", "starts", "copies", "again")))
     pieces = cut(pieces, "pieces")
-    finer = pieces.groupBy("key", "stretch").agg(F.sum("times").alias("times"), F.first("data").alias("data"))
-    below = marks(cut(finer, "finer"), window, level + 1, crowd)
-    back = below.join(pieces.drop("data", "times"), ["key", "stretch"]).select(
-        F.col("of_key").alias("key"), F.col("of_stretch").alias("stretch"),
-        F.transform("runs", lambda r: F.struct((r["first"] + F.col("offset")).alias("first"), (r["end"] + F.col("offset")).alias("end"))).alias("runs"),
-    )
+    if gram == window:
+        same = pieces.groupBy("key", "stretch").agg(F.sum(F.col("copies") * F.col("starts")).alias("n")).filter("n > 1").select("key", "stretch")
+        back = pieces.join(same, ["key", "stretch"]).withColumn("runs", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("starts").alias("end"))))
+    else:
+        source = held.select(*(F.col(c).alias(k) for k, c in parents.items()), "data")
+        below = marks(cut(contents(pieces, source, list(parents), window), "finer"), window, level + 1, crowd)
+        back = below.join(pieces, ["key", "stretch"])
+    back = back.select(*(F.col(k).alias(c) for k, c in parents.items()), F.transform("runs", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), (r["end"] + F.col("first")).alias("end"))).alias("runs"))
     return plain.union(back)
 
 
@@ -163,7 +171,7 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def removed_spans(texts: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
     """digest, runs: byte runs (first, end) to remove, of texts with any; not merged."""
     found = cut(places(texts, window), "places")
-    held = cut(contents(found, texts, window), "stretches")
+    held = cut(contents(found, texts, ["digest"], window), "stretches")
     hit = marks(held, window, crowd=crowd)
     at = hit.join(found.select("key", "stretch", "digest", F.col("first").alias("f0")), ["key", "stretch"])
     at = at.select("digest", F.transform("runs", lambda r: F.struct((r["first"] + F.col("f0")).alias("first"), (r["end"] + F.col("f0") + (window - 1)).alias("end"))).alias("runs"))

@@ -9,7 +9,6 @@ _BACK = np.uint64(pow(int(_R), -1, 2**64))
 _TABLE = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 GRAM, REACH = 8, 32  # a unit's border is the least of 32 hashes of 8 bytes each
-PREFIX = 256  # bytes two suffixes share at least, where a window of both is equal
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
@@ -174,42 +173,95 @@ def regions(data: np.ndarray, window: int, gram: int, most: int = 2048) -> tuple
     return m[first], h.of(first, first + length + window - 1), first, length, again
 
 
+def words_at(data: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """`words` big-endian numbers of eight bytes each from each place on: they order places as their bytes do. data
+    has eight times as many bytes behind the last place."""
+    eight = np.ndarray((len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))
+    return eight[at[:, None] + 8 * np.arange(words)].astype(np.uint64)
+
+
+def blocks_at(data: np.ndarray, at: np.ndarray, left: np.ndarray, words: int) -> list[np.ndarray]:
+    """Keys, the last one first in rank, that order the bytes from each place on, of which `left` are the text's own; of
+    two equal ones that which ends sooner comes first."""
+    found = words_at(data, at, words)
+    for k in range(words):
+        own = np.clip(left - 8 * k, 0, 8).astype(np.uint64)
+        found[:, k] &= ~np.where(own == 8, np.uint64(0), np.uint64(2**64 - 1) >> (np.uint64(8) * own))
+    return [np.minimum(left, 8 * words), *(found[:, k] for k in reversed(range(words)))]
+
+
+def shared(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Equal bytes from a[k] and b[k] on, most[k] at most: the bytes themselves are compared, eight at a time."""
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    out = np.maximum(most, 0)
+    live, j = np.flatnonzero(most > 0), 0
+    while len(live):
+        differ = eight[a[live] + j] ^ eight[b[live] + j]
+        on = differ != 0
+        lowest = differ[on] & (~differ[on] + np.uint64(1))
+        out[live[on]] = np.minimum(out[live[on]], j + np.bitwise_count(lowest - np.uint64(1)).astype(np.int64) // 8)
+        j += 8
+        live = live[~on & (out[live] > j)]
+    return out
+
+
 def repeated(texts: list[bytes], times: list[int], window: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text, which stands `times` times, the starts of its windows that occur elsewhere: (first, end) of runs.
 
-    Texts are cut into units at borders that their own bytes fix. The suffixes at borders are sorted; neighbours in
-    that order that share their units for PREFIX bytes form a group, and only within a group windows are compared.
+    Texts are cut into units at borders that their own bytes fix: 40 bytes from a border on fix the next one. A border's
+    symbol is the rank of these bytes, so that sorting the suffixes of symbols sorts the suffixes of bytes. A window is
+    cut at its first border, k bytes from its start. It occurs elsewhere if a suffix shares window - k bytes with the
+    border's, which the common prefixes of sorted neighbours tell, and k bytes before it, which the common endings of
+    neighbours sorted backwards tell.
     """
     size = np.array([len(t) for t in texts], dtype=np.int64)
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    data = np.frombuffer(b"".join([*texts, bytes(window + 64)]), dtype=np.uint8)
+    total = int(size.sum())
     begin = np.cumsum(size) - size
-    h = Hashes(data)
-    border_of = last_least(h.grams(GRAM), REACH)
-    at = np.unique(np.concatenate([border_of, begin]))
-    end = np.append(at[1:], len(data))
+    border_of = last_least(Hashes(data[:total]).grams(GRAM), REACH)
+    at = np.unique(border_of)
     text_of = np.searchsorted(begin, at, side="right") - 1
-    unit = np.unique(h.of(at, end), return_inverse=True)[1] + 1
-    last = np.flatnonzero(np.append(text_of[1:] != text_of[:-1], True))
-    unit[last] = unit.max() + 1 + np.arange(len(last))  # the last unit of a text is like no other
-    order = np.array(suffix_array(unit.tolist()), dtype=np.int64)
-    reach = np.minimum(np.searchsorted(at, at + PREFIX), len(at) - 1)
-    prefix = h.of(at, np.maximum(at[reach], at))[order]
-    group = np.empty(len(at), dtype=np.int64)
-    group[order] = np.cumsum(np.concatenate([[0], prefix[1:] != prefix[:-1]]))
+    left = begin[text_of] + size[text_of] - at
+    ranked = blocks_at(data, at, left, (REACH + GRAM) // 8)
+    order = np.lexsort(ranked)
+    symbol = np.empty(len(at), dtype=np.int64)
+    symbol[order] = np.cumsum(np.any([np.diff(x[order], prepend=x[order[:1]]) != 0 for x in ranked], axis=0)) + 1
+    order = np.array(suffix_array(symbol.tolist()), dtype=np.int64)
+    a, b = order[:-1], order[1:]
+    prefix = shared(data, at[a], at[b], np.minimum(np.minimum(left[a], left[b]), window))
     starts = size - window + 1
-    s = np.concatenate([np.arange(b, b + n) for b, n in zip(begin.tolist(), starts.tolist(), strict=True)])
-    t = np.repeat(np.arange(len(texts)), starts)
-    g = group[np.searchsorted(at, border_of[s])]
-    crowd = np.bincount(group, weights=np.asarray(times, dtype=np.float64)[text_of], minlength=len(at)) > 1
-    on = np.flatnonzero(crowd[g])
-    key = mix(h.of(s[on], s[on] + window) + g[on].astype(np.uint64) * _R)
-    kind = np.unique(key, return_inverse=True)[1]
-    many = np.bincount(kind, weights=np.asarray(times, dtype=np.float64)[t[on]])[kind] > 1
+    s = np.concatenate([np.arange(x, x + n) for x, n in zip(begin.tolist(), starts.tolist(), strict=True)])
+    border = np.searchsorted(at, border_of[s])
+    before = at[border] - s
+    weight = np.asarray(times, dtype=np.int64)
+    # places to look at: suffixes that share enough with a neighbour for the longest part before a border
+    near = prefix >= window - REACH + 1
+    close = np.zeros(len(at), bool)
+    close[order[:-1][near]] = close[order[1:][near]] = True
+    found = np.flatnonzero(close)
+    back = data[:total][::-1]
+    back = np.concatenate([back, np.zeros(window + 64, np.uint8)])
+    ahead = at[found] - begin[text_of[found]]
+    by_left = np.lexsort(blocks_at(back, total - at[found], ahead, REACH // 8))
+    x, y = by_left[:-1], by_left[1:]
+    ending = shared(back, total - at[found[x]], total - at[found[y]], np.minimum(np.minimum(ahead[x], ahead[y]), REACH))
     hit = np.zeros(len(s) + 1, bool)
-    hit[on[many]] = True
+    group, side = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    on = np.flatnonzero(close[border])
+    on = on[np.argsort(before[on], kind="stable")]
+    cuts = np.searchsorted(before[on], np.arange(REACH + 1))
+    for k in range(REACH):
+        some = on[cuts[k] : cuts[k + 1]]
+        if not len(some):
+            continue
+        group[order] = np.cumsum(np.concatenate([[0], prefix < window - k]))
+        side[found[by_left]] = np.cumsum(np.concatenate([[0], ending < k]))
+        p = border[some]
+        kind, of, n = np.unique(group[p] * len(at) + side[p], return_inverse=True, return_counts=True)
+        hit[some[n[of] > 1]] = True
     out = []
     base = np.cumsum(starts) - starts
-    for b, n in zip(base.tolist(), starts.tolist(), strict=True):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[b : b + n].astype(np.int8), [0]])))
+    for x, n, m in zip(base.tolist(), starts.tolist(), weight.tolist(), strict=True):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[x : x + n].astype(np.int8), [0]]))) if m == 1 else np.array([0, n])
         out.append((edge[::2], edge[1::2]))
     return out
