@@ -27,6 +27,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ from .common import checkpointed, scratch_path, table
 
 MAGIC = b"S8BTOK01"
 BLOCK = 1 << 16
-KEPT = 500_000
+KEPT = 1_000_000
+TOGETHER = 8_192  # pieces
+ROWS = 1_024  # texts at a time
 #: Ids in a word and bits of each, by selector. Selector 0 is the escape, 1 is unused.
 SELECTORS = {2: (60, 1), 3: (30, 2), 4: (20, 3), 5: (15, 4), 6: (12, 5), 7: (10, 6), 8: (8, 7), 9: (7, 8), 10: (6, 10), 11: (5, 12), 12: (4, 15), 13: (3, 20), 14: (2, 30), 15: (1, 60)}
 
@@ -67,14 +70,15 @@ def pack(ids: np.ndarray) -> np.ndarray:
         fits = widest[: n - k + 1] <= bits
         if not fits.any():
             break  # nor do more ids in fewer bits
-        best[: n - k + 1][fits] = s
-    taken = np.ones(16, dtype=np.int64)
+        np.copyto(best[: n - k + 1], s, where=fits)
+    taken = np.ones(16, dtype=np.uint8)
     for s, (k, _) in SELECTORS.items():
         taken[s] = k
-    step = taken[best].tolist()
+    step = taken[best].tobytes()
     at, starts = 0, []
+    begin = starts.append
     while at < n:
-        starts.append(at)
+        begin(at)
         at += step[at]
     starts = np.array(starts)
     sel = best[starts]
@@ -129,22 +133,14 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def holes(found: list) -> list[int]:
-    """Places of None."""
-    out, j = [], -1
-    for _ in range(found.count(None)):
-        j = found.index(None, j + 1)
-        out.append(j)
-    return out
-
-
 class Encoder:
     """Texts to ids (4 bytes each, little-endian).
 
     Encoded pieces are kept in two generations of KEPT each: when the younger is full, it becomes the older one, and
-    the pieces that had not been met again since are forgotten. With `special`, special tokens in a text are told apart,
-    as by the library's default; without it, they are text like any other. Where a special token could reach over a cut,
-    texts are encoded whole.
+    the pieces that had not been met again since are forgotten. New pieces are encoded as one text, whose ids are dealt
+    out by the bytes that they stand for. With `special`, special tokens in a text are told apart, as by the library's
+    default; without it, they are text like any other. Where a special token could reach over a cut, texts are encoded
+    whole.
     """
 
     def __init__(self, path: str, special: bool = False):
@@ -153,16 +149,35 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.whole = any(a.lstrip or a.rstrip or a.single_word or a.content[-1:] in ".," or any(c.isspace() for c in a.content) for a in added)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.whole = any(a.lstrip or a.rstrip or a.single_word or a.content[-1:] in ".," or any(c.isspace() for c in a.content) for a in added.values())
+        known = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(known.values(), default=0) + 1, dtype=np.int64)  # bytes that an id stands for
+        for token, i in known.items():
+            self.size[i] = len(added[i].content.encode()) if i in added else len(token)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, new: list[str]) -> None:
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.young[p] = array("I", e.ids).tobytes()
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _meet(self, missing: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
+        """Pieces that start with a blank and don't end with one keep apart within one text."""
+        apart = [p for p in new if p[0] not in " \n"]
+        self.young.update(zip(apart, self._plain(apart), strict=True))
+        new = [p for p in new if p[0] in " \n"]
+        for k in range(0, len(new), TOGETHER):
+            some = new[k : k + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            reach, ends = np.cumsum(self.size[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in some])
+            cuts = np.searchsorted(reach, ends)
+            if len(reach) and reach[-1] == ends[-1] and (reach[cuts] == ends).all():
+                raw, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
+                self.young.update(zip(some, (raw[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+            else:  # a tokenizer whose ids don't stand for the text's own bytes
+                self.young.update(zip(some, self._plain(some), strict=True))
+
+    def _meet(self, missing: list[str]) -> None:
         """A comma or full stop behind a letter or digit is a piece of its own to the tokenizer, too."""
         young, old = self.young, self.old
         new, ending = set(), []
@@ -185,30 +200,24 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.whole:
-            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut, met, gaps, missing = [], [], [], set()
-        for t in texts:
-            c = pieces(t) if "\0" in t else rough(t)
-            m = list(map(self.young.get, c))
-            gap = holes(m)
-            if any(not c[j] or c[j][-1].isspace() for j in gap):  # such pieces are never kept, so that they show here
-                c = pieces(t)
-                m = list(map(self.young.get, c))
-                gap = holes(m)
-            missing.update(c[j] for j in gap)
-            cut.append(c)
-            met.append(m)
-            gaps.append(gap)
-        if missing:
-            blank = sorted(p for p in missing if p[-1].isspace())
-            last = {p: array("I", e.ids).tobytes() for p, e in zip(blank, self.tokenizer.encode_batch_fast(blank, add_special_tokens=False), strict=True)}
-            self._meet(missing - last.keys())
-            for c, m, gap in zip(cut, met, gaps, strict=True):
-                for j in gap:
-                    m[j] = last[c[j]] if c[j] in last else self.young[c[j]]
+            return self._plain(texts)
+        known = self.young.__contains__
+        cut = [pieces(t) if "\0" in t else rough(t) for t in texts]
+        missing = set(filterfalse(known, set().union(*cut)))
+        wrong = {p for p in missing if not p or p[-1].isspace()}  # such pieces are never kept, so that they show here
+        if wrong:
+            again = [k for k, c in enumerate(cut) if not wrong.isdisjoint(c)]
+            for k in again:
+                cut[k] = pieces(texts[k])
+            missing = (missing - wrong).union(filterfalse(known, set().union(*(cut[k] for k in again))))
+        blank = [p for p in missing if p[-1].isspace()]
+        last = dict(zip(blank, self._plain(blank), strict=True))
+        self._meet([p for p in missing if p not in last] if last else list(missing))
+        get = self.young.__getitem__
+        out = [b"".join(map(get, c[:-1])) + last[c[-1]] if last and c and c[-1] in last else b"".join(map(get, c)) for c in cut]
         if len(self.young) > KEPT:
             self.young, self.old = {}, self.young
-        return [b"".join(m) for m in met]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}  # one in each worker process
@@ -301,8 +310,8 @@ def write_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end: i
         coder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer, special=True))
         out = None
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
                 out = out or TokenFile(store.open_output_stream(path))
                 for i, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
                     out.add(i, np.frombuffer(ids + last, "<u4"))
@@ -336,7 +345,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("path").repartition("path").mapInArrow(read_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path").repartition(max(len(first), 1), "path").mapInArrow(read_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> str:
