@@ -18,6 +18,39 @@ def test_pairs_weigh_more_than_their_parts():
     assert s[2] > 0.5 > max(s[0], s[1], s[3])
 
 
+def test_pairs_that_tell_nothing_alone():
+    """One of two words is toxic, both or none are not: neither tells the classes apart alone."""
+    r = random.Random(1)
+    texts, y = [], []
+    for _ in range(1500):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        texts.append(" ".join(["insult"] * a + ["group"] * b + [f"w{r.randrange(300)}" for _ in range(20)]))
+        y.append(float(a != b))
+    m = x.learn([x.hashed(t) for t in texts[:1200]], np.array(y[:1200]))
+    assert np.mean((m.score([x.hashed(t) for t in texts[1200:]]) > 0.5) == np.array(y[1200:])) > 0.97
+
+
+def test_scores_equal_a_sum_over_pairs():
+    r = np.random.default_rng(3)
+    m = x.Machine(0.3, np.sort(r.choice(1000, 60, replace=False)).astype(np.int32), r.normal(size=60), r.normal(size=(60, 3)) / 3)
+    found = [np.sort(r.choice(1000, n, replace=False)).astype(np.int32) for n in (0, 1, 5, 200)]
+    for h, got in zip(found, m.score(found)):
+        at = [k for k, t in enumerate(m.terms) if t in h]
+        z = m.bias + sum(m.weights[i] for i in at) + sum(m.factors[i] @ m.factors[j] for i in at for j in at if i < j)
+        assert np.isclose(got, 1 / (1 + np.exp(-z)))
+
+
+def test_clashing_names_long_texts_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "bad insult " * 30_000, 1.0, "r", 3), (2, "fine", None, None, None), (2, "fine", None, None, None)], "doc_id long, text string, score double, row string, y int")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    for module in (x, q):
+        rows = module.score(docs, "text", module.train(docs, labels, "doc_id", "text", "toxic")).collect()
+        assert sorted((r.row.doc_id, r.row.row, r.row.score) for r in rows if r.row.row) == [(1, "r", 1.0)] and len(rows) == 3
+        assert all(0 <= r.score <= 1 for r in rows)
+        none = docs.limit(0)
+        assert {r.score for r in module.score(docs, "text", module.train(none, labels, "doc_id", "text", "toxic")).collect()} == {0.5}
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (2, "")], "doc_id long, text string")
     none = x.train(docs, spark.createDataFrame([], "doc_id long, toxic int"), "doc_id", "text", "toxic")
@@ -49,12 +82,31 @@ def test_marginals_equal_enumeration():
     assert np.allclose(got, want) and np.allclose(pairs, all_pairs) and np.isclose(logz, total)
 
 
+def test_lines_of_one_text_differ():
+    """Documents are wholly good, wholly bad, or half bad and labelled bad; no line has a label."""
+    r = random.Random(8)
+    line = lambda tail: " ".join(f"w{r.randrange(500)}{tail}" for _ in range(15))
+    text = lambda kinds: "\n".join(line("***" if k == "b" else "") for k in kinds)
+    kinds = [r.choice(["gggggg", "gggggg", "bbbbbb", "gggbbb", "bbbggg"]) for _ in range(400)]
+    f = q.learn(*q.measures([text(k) for k in kinds]), np.array([float("b" not in k) for k in kinds]))
+    x, lengths, count = q.measures([text("ggggbbbb"), text("bbbbgggg")])
+    good = q.marginals(q.features(x, count) @ f.theta, f.move, count)[0].reshape(2, 8)
+    assert good[0, :3].min() > 0.8 and good[0, 5:].max() < 0.2 and good[1, 5:].min() > 0.8 and good[1, :3].max() < 0.2
+    s = q.quality([text("gggggg"), text("bbbbbb"), text("gggbbb")], f)
+    assert s[0] > 0.9 and s[1] < 0.1 and s[2] < 0.3
+    # a document's score is the curve at the length-weighted mean of its lines
+    by_hand = (good[0] * lengths[:8]).sum() / lengths[:8].sum()
+    z = f.slope * np.log(by_hand / (1 - by_hand)) + f.level
+    assert np.isclose(q.aggregate(good.ravel(), lengths, count)[0], by_hand)
+    assert 0 < 1 / (1 + np.exp(-z)) < 1
+
+
 def test_quality_learns_lines_and_meets_edges(spark):
     r = random.Random(3)
     good = lambda: "\n".join(" ".join(f"w{r.randrange(500)}" for _ in range(15)) for _ in range(6))
     bad = lambda: "\n".join(" ".join(f"w{r.randrange(500)}***" for _ in range(15)) for _ in range(6))
     texts = [good() if k % 3 else bad() for k in range(300)]
-    f = q.learn(texts, np.array([float(k % 3 > 0) for k in range(300)]))
+    f = q.learn(*q.measures(texts), np.array([float(k % 3 > 0) for k in range(300)]))
     s = q.quality([good(), bad(), None, "", " \n\n", "x " * 50_000], f)
     assert s[0] > 0.9 and s[1] < 0.2 and np.allclose(s[2:5], 2 / 3) and np.isfinite(s).all()
     docs = spark.createDataFrame([(1, None), (None, good()), (3, bad()), (3, bad())], "doc_id long, text string")

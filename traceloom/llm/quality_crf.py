@@ -4,11 +4,18 @@ Each line is good or bad; its features are its own and those of the lines before
 gives each line's probability of being good; a document's quality is their mean, weighted by the lines' lengths, put
 through a logistic curve fitted to the labels.
 
-The field is fitted on the driver to at most `Fit.rows` labelled documents (those with the smallest hash of the id),
-whole texts, every line with its document's label.
+Lines have no labels of their own: a document's label only says that the weighted mean of its lines is high or low. The
+field begins with every line on its own, labelled as its document, then alternates: expected labels and moves are taken under the
+field itself, shifted document by document just as far as the mean demands, and the field is fitted to them. So lines
+of a bad document that look good become good, as long as enough of it is bad.
+
+The field is fitted on the driver to at most `Fit.rows` labelled documents (those with the smallest hash of the id), of
+which only the lines' measures go there (nine numbers and a length each).
 
 Defined results: null and empty text, and text without words, score the share of good rows; rows without a label are
-not learned from; without labelled rows all score 0.5; lines without a word are left out; repeated rows each count.
+not learned from; of several labels of one id the largest counts; without labelled rows all score 0.5; lines without a
+word are left out; repeated rows each count; a text of any length is scored whole, line by line; columns of any other
+name pass untouched in `row`.
 """
 
 from __future__ import annotations
@@ -32,9 +39,13 @@ CHUNK = 1_000  # documents at a time
 @dataclass(frozen=True)
 class Fit:
     rows: int = 3_000
-    steps: int = 120
+    steps: int = 60  # with lines labelled as their documents
+    rounds: int = 10  # of expected labels
+    each: int = 12  # steps in a round
     rate: float = 0.1
     l2: float = 1e-3
+    good: float = 0.9  # least mean of a good document
+    bad: float = 0.5  # greatest mean of a bad one
 
 
 @dataclass
@@ -71,22 +82,25 @@ def lines_of(text: str | None) -> tuple[list[list[float]], list[int]]:
     return out, lengths
 
 
-def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of (1, own, before, behind) for all lines of all texts, the lines' lengths, lines per text."""
+def measures(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and lengths of all lines of all texts, lines per text."""
     rows, lengths, count = [], [], []
     for t in texts:
         a, b = lines_of(t)
         rows += a
         lengths += b
         count.append(len(b))
-    count = np.array(count, dtype=np.int64)
-    x = np.array(rows, dtype=np.float64).reshape(-1, OWN)
+    return np.array(rows, dtype=np.float64).reshape(-1, OWN), np.array(lengths, dtype=np.float64), np.array(count, dtype=np.int64)
+
+
+def features(x: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Rows of (1, own, before, behind) for all lines."""
     first = np.zeros(len(x), bool)
     first[(np.cumsum(count) - count)[count > 0]] = True
     before, behind = np.roll(x, 1, 0), np.roll(x, -1, 0)
     before[first] = 0
     behind[np.roll(first, -1)] = 0
-    return np.hstack([np.ones((len(x), 1)), x, before, behind]), np.array(lengths, dtype=np.float64), count
+    return np.hstack([np.ones((len(x), 1)), x, before, behind])
 
 
 def marginals(unary: np.ndarray, move: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -129,24 +143,47 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def learn(texts: list, labels: np.ndarray, fit: Fit = Fit()) -> Field:
+def shifts(unary: np.ndarray, move: np.ndarray, lengths: np.ndarray, count: np.ndarray, labels: np.ndarray, fit: Fit) -> np.ndarray:
+    """How far each document's lines must be shifted, so that their mean is at least `good` or at most `bad`, by
+    halving; 0 where it is already."""
+    goal = np.where(labels > 0.5, fit.good, fit.bad)
+    sign = np.where(labels > 0.5, 1.0, -1.0)
+    mean = lambda by: np.nan_to_num(aggregate(marginals(unary + np.repeat(by, count), move, count)[0], lengths, count), nan=0.5)
+    need = sign * (goal - mean(np.zeros(len(count)))) > 0
+    low, high = np.zeros(len(count)), np.full(len(count), 20.0)
+    for _ in range(8):
+        middle = (low + high) / 2
+        short = sign * (goal - mean(sign * middle)) > 0
+        low, high = np.where(short, middle, low), np.where(short, high, middle)
+    return np.where(need, sign * high, 0.0)
+
+
+def learn(x: np.ndarray, lengths: np.ndarray, count: np.ndarray, labels: np.ndarray, fit: Fit = Fit()) -> Field:
+    """The lines' measures, their lengths, lines per document, labels of the documents."""
     if not len(labels):
         return Field(np.zeros(1 + 3 * OWN), np.zeros((2, 2)), 0.0, 0.0, 0.5)
-    x, lengths, count = features(texts)
-    y = np.repeat(labels, count)
+    x = features(x, count)
+    y = np.repeat(labels, count).astype(np.float64)
     same = np.repeat(np.arange(len(count)), count)
-    inner = same[1:] == same[:-1] if len(same) else np.zeros(0, bool)
+    inner = same[1:] == same[:-1]
     observed = np.zeros((2, 2))
     for k in (0, 1):
-        observed[k, k] = (inner & (y[1:] == k)).sum() if len(y) else 0
+        observed[k, k] = (inner & (y[1:] == k)).sum()
     n = max(len(y), 1)
     p = np.zeros(x.shape[1] + 4)
-    m1, m2 = np.zeros_like(p), np.zeros_like(p)
-    for step in range(1, fit.steps + 1):
-        good, pairs, _ = marginals(x @ p[:-4], p[-4:].reshape(2, 2), count)
-        grad = np.concatenate([x.T @ (good - y) / n, (pairs - observed).ravel() / n]) + fit.l2 * p
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
-        p = p - fit.rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+    m1, m2, step = np.zeros_like(p), np.zeros_like(p), 0
+    for k in range(fit.rounds + 1):
+        if k:
+            unary, move = x @ p[:-4], p[-4:].reshape(2, 2)
+            y, observed, _ = marginals(unary + np.repeat(shifts(unary, move, lengths, count, labels, fit), count), move, count)
+        for _ in range(fit.each if k else fit.steps):
+            step += 1
+            good, pairs, _ = marginals(x @ p[:-4], p[-4:].reshape(2, 2), count)
+            grad = np.concatenate([x.T @ (good - y) / n, (pairs - observed).ravel() / n]) + fit.l2 * p
+            if not k:
+                grad[1 + OWN :] = 0
+            m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+            p = p - fit.rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     theta, move = p[:-4], p[-4:].reshape(2, 2)
     q = aggregate(marginals(x @ theta, move, count)[0], lengths, count)
     on = ~np.isnan(q)
@@ -167,16 +204,26 @@ def learn(texts: list, labels: np.ndarray, fit: Fit = Fit()) -> Field:
 def quality(texts: list, field: Field) -> np.ndarray:
     out = []
     for k in range(0, len(texts), CHUNK):
-        x, lengths, count = features(texts[k : k + CHUNK])
-        q = aggregate(marginals(x @ field.theta, field.move, count)[0], lengths, count)
+        x, lengths, count = measures(texts[k : k + CHUNK])
+        q = aggregate(marginals(features(x, count) @ field.theta, field.move, count)[0], lengths, count)
         s = 1 / (1 + np.exp(-np.clip(field.slope * logit(np.nan_to_num(q, nan=0.5)) + field.level, -30, 30)))
         out.append(np.where(np.isnan(q), field.share, s))
     return np.concatenate(out) if out else np.zeros(0)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, fit: Fit = Fit()) -> Field:
-    got = sample(docs.select(doc_id, text), labels, doc_id, label, fit.rows).select(text, "y").toArrow()  # fit.rows rows at most
-    return learn(got.column(0).to_pylist(), got.column(1).to_numpy(), fit)
+    def measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, lengths, count = measures(batch.column(0).to_pylist())
+            ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            own = pa.ListArray.from_arrays(pa.array(OWN * ends), pa.array(x.ravel(), pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), own, pa.ListArray.from_arrays(pa.array(ends), pa.array(lengths, pa.int32()))], ["y", "own", "lengths"])
+
+    picked = sample(docs.select(doc_id, text), labels, doc_id, label, fit.rows).select(text, "y")
+    got = picked.mapInArrow(measure_batches, "y double, own array<float>, lengths array<int>").toArrow().combine_chunks()  # fit.rows rows at most
+    flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy().astype(np.float64)
+    count = np.array([len(x) for x in got.column("lengths")], dtype=np.int64)
+    return learn(flat("own").reshape(-1, OWN), flat("lengths"), count, got.column("y").to_numpy(), fit)
 
 
 def score(docs: DataFrame, text: str, field: Field) -> DataFrame:
