@@ -1,13 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of the hashes of its words and of their beginnings. The score is the logistic of a bias, a weight for each term and, for each pair
-of terms, the inner product of their factors: a pair (an insult and a mention of a group) can weigh more than its parts.
+A text is the set of the hashes of its words and of their beginnings. The score is the logistic of a bias, a weight for
+each term and, for each pair of terms, the inner product of their factors: a pair (an insult and a mention of a group)
+can weigh more than its parts, or less.
 
-The machine is fitted on the driver to at most `Fit.rows` labelled rows (those with the smallest hash of the id) and
-keeps at most `Fit.terms` terms: those that tell the classes apart best. What is broadcast has that bound.
+The machine is fitted on the driver to at most `Fit.rows` labelled rows (those with the smallest hash of the id), of
+which only the terms' hashes go there. It keeps the terms that tell the classes apart, alone or in pairs; the 2^20
+values of the hash bound what is broadcast.
 
 Defined results: null and empty text have no terms and score the bias; rows without a label or with a null one are
-not learned from; without any labelled row all texts score 0.5; repeated rows each count.
+not learned from; of several labels of one id the largest counts; without any labelled row all texts score 0.5;
+repeated rows each count; a text of any length is the set of its terms; columns of any other name pass untouched in
+`row`.
 """
 
 from __future__ import annotations
@@ -30,9 +34,11 @@ BITS = 20
 @dataclass(frozen=True)
 class Fit:
     rows: int = 12_000  # labelled rows to learn from
-    terms: int = 4_096  # terms with weights
     least: int = 4  # rows with a term
-    factors: int = 4
+    alone: float = 2.5  # standard deviations by which a term tells the classes apart
+    together: float = 5.0  # and by which a pair does beyond its two terms
+    paired: float = 0.02  # share of the rows that a term is in, to be looked at in pairs
+    factors: int = 8
     steps: int = 400
     rate: float = 0.05
     l2: float = 4e-5
@@ -67,9 +73,36 @@ def hashed(text: str | None) -> np.ndarray:
     return np.array(sorted({zlib.crc32(w) & mask for w in words}), dtype=np.int32)
 
 
+def telling_pairs(row: np.ndarray, term: np.ndarray, labels: np.ndarray, share: float, fit: Fit) -> np.ndarray:
+    """Terms that tell the classes apart with another one: the share of toxic rows among those with both lies far from
+    what the two shares add up to. Of terms in `paired` of the rows; numbers of rows are products of 0-1 matrices."""
+    n = len(labels)
+    often = np.flatnonzero(np.bincount(term, minlength=1 << BITS) >= max(fit.paired * n, fit.least)).astype(np.int32)
+    if len(often) < 2:
+        return often[:0]
+    at = np.minimum(np.searchsorted(often, term), len(often) - 1)
+    on = often[at] == term
+    row, at = row[on], at[on]
+    seen = np.bincount(at, minlength=len(often))
+    rate = (np.bincount(at, weights=labels[row], minlength=len(often)) / seen).astype(np.float32)
+    both, toxic = np.zeros((len(often), len(often)), np.float32), np.zeros((len(often), len(often)), np.float32)
+    for a in range(0, n, 2000):
+        part = (row >= a) & (row < a + 2000)
+        x = np.zeros((2000, len(often)), np.float32)
+        x[row[part] - a, at[part]] = 1
+        y = np.zeros(2000, np.float32)
+        y[: len(labels[a : a + 2000])] = labels[a : a + 2000]
+        both += x.T @ x
+        toxic += (x * y[:, None]).T @ x
+    wanted = np.clip(rate[:, None] + rate[None, :] - np.float32(share), 0, 1)
+    z = np.where(both >= fit.least, np.abs(toxic - wanted * both) / np.sqrt(share * (1 - share) * np.maximum(both, 1)), 0)
+    np.fill_diagonal(z, 0)
+    return often[(z > fit.together).any(1)]
+
+
 def learn(found: list[np.ndarray], labels: np.ndarray, fit: Fit = Fit()) -> Machine:
-    """Adam on the logistic loss of all rows; terms are screened by how far their share among the toxic rows lies
-    from that among all, in standard deviations."""
+    """Adam on the logistic loss of all rows. Terms are screened: those stay whose share among the toxic rows lies far
+    from that among all, and those that tell the classes apart in a pair."""
     none = Machine(0.0, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, fit.factors)))
     if not len(labels):
         return none
@@ -78,8 +111,7 @@ def learn(found: list[np.ndarray], labels: np.ndarray, fit: Fit = Fit()) -> Mach
     seen = np.bincount(flat, minlength=1 << BITS)
     toxic = np.bincount(flat, weights=labels[row], minlength=1 << BITS)
     z = np.where(seen >= fit.least, np.abs(toxic - share * seen) / np.sqrt(share * (1 - share) * np.maximum(seen, 1)), 0)
-    terms = np.sort(np.argsort(-z, kind="stable")[: fit.terms])
-    terms = terms[z[terms] > 2.5].astype(np.int32)
+    terms = np.union1d(np.flatnonzero(z > fit.alone), telling_pairs(row, flat, labels, share, fit)).astype(np.int32)
     bias = float(np.log(share / (1 - share)))
     if not len(terms):
         return Machine(bias, terms, np.zeros(0), np.zeros((0, fit.factors)))
