@@ -27,10 +27,10 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ MAGIC = b"S8BTOK01"
 BLOCK = 1 << 16
 KEPT = 1_000_000
 TOGETHER = 8_192  # pieces
-ROWS = 1_024  # texts at a time
+TEXTS = 8_000_000  # bytes of texts at a time
 #: Ids in a word and bits of each, by selector. Selector 0 is the escape, 1 is unused.
 SELECTORS = {2: (60, 1), 3: (30, 2), 4: (20, 3), 5: (15, 4), 6: (12, 5), 7: (10, 6), 8: (8, 7), 9: (7, 8), 10: (6, 10), 11: (5, 12), 12: (4, 15), 13: (3, 20), 14: (2, 30), 15: (1, 60)}
 
@@ -75,22 +75,24 @@ def pack(ids: np.ndarray) -> np.ndarray:
     for s, (k, _) in SELECTORS.items():
         taken[s] = k
     step = taken[best].tobytes()
-    at, starts = 0, []
-    begin = starts.append
+    at, begins = 0, bytearray(n)
     while at < n:
-        begin(at)
+        begins[at] = 1
         at += step[at]
-    starts = np.array(starts)
+    starts = np.flatnonzero(np.frombuffer(begins, dtype=bool))
     sel = best[starts]
     long = sel == 0
     place = np.arange(len(starts)) + np.cumsum(long) - long
     words = np.zeros(len(starts) + int(long.sum()), dtype=np.uint64)
     words[place[long] + 1] = ids[starts[long]]
     for s, (k, bits) in SELECTORS.items():
-        on = sel == s
-        if on.any():
-            held = ids[starts[on][:, None] + np.arange(k)] << (np.arange(k, dtype=np.uint64) * np.uint64(bits))
-            words[place[on]] = np.bitwise_or.reduce(held, axis=1) | np.uint64(s << 60)
+        on = np.flatnonzero(sel == s)
+        if len(on):
+            first = starts[on]
+            held = ids[first] | np.uint64(s << 60)
+            for j in range(1, k):
+                held |= ids[first + j] << np.uint64(j * bits)
+            words[place[on]] = held
     return words
 
 
@@ -117,9 +119,11 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def rough(text: str) -> list[str]:
-    """text cut before each space and line feed; only where no blank comes before do the cuts hold."""
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+def rough(texts: pa.Array) -> pa.Array:
+    """Texts (large_string) cut before each space and line feed, as lists; only where no blank comes before do the cuts
+    hold."""
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+    return pc.split_pattern(marked, "\0")
 
 
 def pieces(text: str) -> list[str]:
@@ -133,6 +137,18 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+def ends_blank(texts: pa.Array, same: list[str]) -> np.ndarray:
+    """Which texts (large_string, and the same as a list) are empty or end with a blank."""
+    stop = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    out = np.diff(stop) == 0
+    final = np.zeros(len(same), np.uint8)
+    final[~out] = data[stop[1:][~out] - 1]
+    for k in np.flatnonzero(~out & ((final <= 32) | (final >= 128))).tolist():
+        out[k] = same[k][-1].isspace()
+    return out
+
+
 class Encoder:
     """Texts to ids (4 bytes each, little-endian).
 
@@ -198,23 +214,42 @@ class Encoder:
         for p in ending:
             young[p] = young[p[:-1]] + young[p[-1]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        ids_of = lambda raw: np.frombuffer(raw, dtype="<u4")
         if self.whole:
-            return self._plain(texts)
-        known = self.young.__contains__
-        cut = [pieces(t) if "\0" in t else rough(t) for t in texts]
-        missing = set(filterfalse(known, set().union(*cut)))
-        wrong = {p for p in missing if not p or p[-1].isspace()}  # such pieces are never kept, so that they show here
-        if wrong:
-            again = [k for k, c in enumerate(cut) if not wrong.isdisjoint(c)]
-            for k in again:
-                cut[k] = pieces(texts[k])
-            missing = (missing - wrong).union(filterfalse(known, set().union(*(cut[k] for k in again))))
+            return [ids_of(x) for x in self._plain(texts.to_pylist())]
+        lists = rough(texts)
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        code, held = coded.indices.to_numpy(), pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.string()))
+        distinct = pc.binary_join(held, "\0")[0].as_py().split("\0") if len(coded.dictionary) else []
+        bad = ends_blank(coded.dictionary, distinct)
+        apart = np.zeros(len(texts), bool)  # texts with a cut that doesn't hold
+        apart[np.searchsorted(ends, np.flatnonzero(bad[code]), side="right") - 1] = True
+        apart |= pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        own = {k: pieces(texts[k].as_py()) for k in np.flatnonzero(apart).tolist()}
+        needed = np.zeros(len(distinct), bool)
+        needed[code[~np.repeat(apart, np.diff(ends))]] = True
+        used = [p for p, on in zip(distinct, needed.tolist(), strict=True) if on]
+        missing = {p for p in used if p not in self.young}.union(*(set(c) - self.young.keys() for c in own.values()))
         blank = [p for p in missing if p[-1].isspace()]
         last = dict(zip(blank, self._plain(blank), strict=True))
-        self._meet([p for p in missing if p not in last] if last else list(missing))
-        get = self.young.__getitem__
-        out = [b"".join(map(get, c[:-1])) + last[c[-1]] if last and c and c[-1] in last else b"".join(map(get, c)) for c in cut]
+        self._meet([p for p in missing if p not in last])
+        young = self.young
+        raw = [young[p] for p in used]
+        flat = ids_of(b"".join(raw))
+        size, first = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        size[needed] = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+        first[needed] = np.cumsum(size[needed]) - size[needed]
+        each = size[code]  # 0 for a piece that only texts to do apart have
+        each[np.repeat(apart, np.diff(ends))] = 0
+        reach = np.cumsum(each)
+        ids = flat[np.repeat(first[code] - (reach - each), each) + np.arange(int(reach[-1]) if len(reach) else 0)]
+        stops = np.concatenate([[0], reach])[ends].tolist()
+        out = [ids[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+        for k, c in own.items():
+            out[k] = ids_of(b"".join(last[p] if p in last else young[p] for p in c))
         if len(self.young) > KEPT:
             self.young, self.old = {}, self.young
         return out
@@ -230,11 +265,12 @@ class TokenFile:
         self.out, self.held, self.n_held, self.offset, self.blocks, self.docs, self.ids = out, [], 0, 0, [], [], 0
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is None, len(ids)))
-        self.ids += len(ids)
-        self.held.append(ids)
-        self.n_held += len(ids)
+    def add(self, doc_id: int | None, *ids: np.ndarray) -> None:
+        n = sum(map(len, ids))
+        self.docs.append((doc_id or 0, doc_id is None, n))
+        self.ids += n
+        self.held += ids
+        self.n_held += n
         if self.n_held >= BLOCK:
             self._flush(BLOCK)
 
@@ -288,6 +324,14 @@ def read_file(f) -> Iterator[tuple[int | None, np.ndarray]]:
         raise ValueError("a token file's index differs from its blocks")
 
 
+def parts_of(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about TEXTS bytes or one text each."""
+    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64)
+    starts = np.unique((np.cumsum(size) - size) // TEXTS, return_index=True)[1].tolist()
+    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def _store(folder: str):
     from pyarrow import fs
 
@@ -306,15 +350,14 @@ def write_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end: i
         store.create_dir(base, recursive=True)
         task = TaskContext.get()
         path = f"{base}/{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.s8b"
-        last = np.array([end], dtype="<u4").tobytes()
+        last = np.array([end], dtype="<u4")
         coder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer, special=True))
         out = None
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
+            for part in parts_of(batch, 1):
                 out = out or TokenFile(store.open_output_stream(path))
-                for i, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
-                    out.add(i, np.frombuffer(ids + last, "<u4"))
+                for i, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1)), strict=True):
+                    out.add(i, ids, last)
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([len(out.docs)], pa.int64()), pa.array([out.ids], pa.int64())], ["part", "path", "docs", "ids"])
