@@ -42,25 +42,44 @@ def test_claude_records_and_usage(spark, tmp_path):
     assert a.malformed == 1 and a.types == {"user": 3, "assistant": 1, "summary": 1}
 
 
-def test_codex_records_history_and_counters(spark, tmp_path):
-    t = "2024-01-02T03:04:05Z"
-    total = lambda i, c, o: {"timestamp": t, "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": i, "cached_input_tokens": c, "output_tokens": o, "reasoning_output_tokens": 0}}}}
-    root = write(tmp_path, "r.jsonl", [
-        {"timestamp": t, "type": "session_meta", "payload": {"id": "S", "cwd": "/w/app", "forked_from_id": "P"}},
-        {"timestamp": t, "type": "turn_context", "payload": {"model": "gpt-5", "turn_id": "T"}},
-        {"timestamp": t, "type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "a"}, {"type": "input_text", "text": "b"}]}},
-        {"timestamp": t, "type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "<environment_context> x"}]}},
-        {"timestamp": t, "type": "response_item", "payload": {"type": "function_call", "name": "sh", "call_id": "c1", "arguments": "{\"x\": 1}"}},
-        {"timestamp": t, "type": "response_item", "payload": {"type": "function_call_output", "call_id": "c1", "output": "ok"}},
-        total(100, 80, 10), total(100, 80, 10), total(150, 90, 30), "not-json",
+def codex_line(at, kind, **payload):
+    return {"timestamp": f"2025-03-01T10:00:{at:02d}Z", "type": kind, "payload": payload}
+
+
+def codex_tokens(at, total=None, last=None):
+    four = lambda x: dict(zip(("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens"), x))
+    info = {k: four(v) for k, v in (("total_token_usage", total), ("last_token_usage", last)) if v}
+    return codex_line(at, "event_msg", type="token_count", info=info)
+
+
+def test_codex_records_and_history(spark, tmp_path):
+    root = write(tmp_path, "fork.jsonl", [
+        codex_line(1, "session_meta", id="child", cwd="/srv/lab/orbit", forked_from_id="root-session"),
+        codex_line(2, "turn_context", model="gpt-5-mini"),
+        codex_line(3, "response_item", type="message", role="user", content=[{"type": "input_text", "text": "<permissions instructions> none"}]),
+        codex_line(4, "response_item", type="function_call", name="grep", call_id="k7", arguments="{\"q\": 2}"),
+        codex_line(5, "response_item", type="message", role="assistant", content=[{"type": "output_text", "text": "found"}, {"type": "output_text", "text": "two"}]),
+        "{broken", codex_line(6, "response_item", type="function_call_output", call_id="k7", output="line 9"),
     ])
-    files = lines.read(spark, root)
-    r = codex.records(files)
-    assert rows(r, "role", "text", "tool_name", "session_id", "conversation_kind") == [("user", "a\nb", None, "S", "fork"), ("tool_use", '{"x": 1}', "sh", "S", "fork"), ("tool_result", "ok", "sh", "S", "fork")]
-    u = codex.usage(files).orderBy("source_order").collect()
-    assert [(x.uncached_input, x.cache_read, x.output, x.model, x.session_id) for x in u] == [(20, 80, 10, "gpt-5", "S"), (40, 10, 20, "gpt-5", "S")]
-    hist = lines.read(spark, write(tmp_path / "h", "history.jsonl", [{"session_id": "S", "text": "no", "ts": 1}, {"session_id": "Z", "text": "yes", "ts": 2}]))
-    assert rows(codex.history(hist, r), "session_id", "text", "ts") == [("Z", "yes", 2000)]
+    r = codex.records(lines.read(spark, root))
+    assert rows(r, "role", "text", "tool_name", "session_id", "conversation_kind", "project") == [("tool_use", '{"q": 2}', "grep", "child", "fork", "orbit"), ("assistant", "found\ntwo", None, "child", "fork", "orbit"), ("tool_result", "line 9", "grep", "child", "fork", "orbit")]
+    hist = lines.read(spark, write(tmp_path / "h", "history.jsonl", [{"session_id": "other", "text": "later", "ts": 9}, {"session_id": "child", "text": "never", "ts": 3}]))
+    assert rows(codex.history(hist, r), "session_id", "text", "ts") == [("other", "later", 9000)]
+
+
+def test_codex_usage_of_forks(spark, tmp_path):
+    got = lambda root: [(x.source_path.rsplit("/", 1)[1], x.uncached_input, x.cache_read, x.output, x.model, x.request_id, x.source_record_id, x.conservative_undercount) for x in codex.usage(lines.read(spark, root)).orderBy("source_path", "source_order").collect()]
+    old, new = "11111111-2222-3333-4444-555555555555", "99999999-8888-7777-6666-555555555555"
+    parent = [codex_line(1, "session_meta", id=old, cwd="/w/a"), codex_line(1, "turn_context", model="gpt-5"), codex_line(2, "event_msg", type="task_started", turn_id="t1"), codex_tokens(3, (40, 10, 4, 0)), codex_tokens(20, (90, 10, 9, 0))]
+    child = [codex_line(10, "session_meta", id=new, cwd="/w/a", forked_from_id=old), codex_tokens(12, (40, 10, 4, 0)), codex_tokens(13, (55, 20, 6, 0)), codex_tokens(14, (80, 20, 9, 0), (25, 0, 3, 0))]
+    root = write(tmp_path, f"rollout-{old}.jsonl", parent)
+    write(tmp_path, f"rollout-{new}.jsonl", child)
+    own = [(f"rollout-{old}.jsonl", 30, 10, 4, "gpt-5", "t1", "event:0", False), (f"rollout-{old}.jsonl", 50, 0, 5, "gpt-5", "t1", "event:1", False)]
+    # the parent's 40, 10 and 4 up to the fork are neither billed again nor part of what the fork adds
+    assert got(root) == [*own, (f"rollout-{new}.jsonl", 5, 10, 2, None, None, "event:0", False), (f"rollout-{new}.jsonl", 25, 0, 3, None, None, "event:1", False)]
+    # without the parent the fork's first total is its ground
+    alone = write(tmp_path / "alone", f"rollout-{new}.jsonl", child)
+    assert got(alone) == [(f"rollout-{new}.jsonl", 5, 10, 2, None, None, "event:0", True), (f"rollout-{new}.jsonl", 25, 0, 3, None, None, "event:1", True)]
 
 
 def test_pi_family(spark, tmp_path):

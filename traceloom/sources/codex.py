@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,23 +70,41 @@ def history(prompts: DataFrame, rolled: DataFrame) -> DataFrame:
 
 
 def usage(files: DataFrame) -> DataFrame:
-    """Requests from the running totals of a file, with the model and folder last named before them."""
-    df = files.filter(F.col("value").contains('"token_count"') | F.col("value").contains('"session_meta"') | F.col("value").contains('"turn_context"'))
-    df = df.withColumn("_e", F.from_json("value", f"timestamp string, type string, payload struct<type: string, id: string, cwd: string, model: string, turn_id: string, info: struct<total_token_usage: {_TOKENS}>>"))
-    p = F.col("_e.payload")
-    for name in ("cwd", "model", "turn_id"):
-        df = _sticky(df, F.nullif(p[name], F.lit("")), f"_{name}")
-    df = _sticky(df, F.when(F.col("_e.type") == "session_meta", p["id"]), "_session")
-    total = p["info"]["total_token_usage"]
-    seen = df.filter((p["type"] == "token_count") & total.isNotNull())
-    n = lambda k: F.coalesce(total[k], F.lit(0)).cast("long")
-    sums = seen.select("source_path", F.col("line_no").cast("long").alias("source_order"), parse_source_ts(F.col("_e.timestamp")).alias("ts"), n("input_tokens").alias("input"), n("cached_input_tokens").alias("cached"), n("output_tokens").alias("output"), n("reasoning_output_tokens").alias("reasoning"))
-    about = seen.select("source_path", F.col("line_no").cast("long").alias("source_order"), "_cwd", "_model", "_turn_id", "_session")
-    d = counters.deltas(sums).withColumnRenamed("output", "out").join(about, ["source_path", "source_order"])
+    """Requests from the running totals and last requests of a file, with the model, turn and folder last named before
+    them. A fork starts from its parent's totals up to the time of the fork; where the parent isn't there, from its own
+    first total, and its requests are marked as an undercount."""
+    wanted = [F.col("value").contains(f'"{k}"') for k in ("token_count", "session_meta", "turn_context", "task_started")]
+    df = files.filter(reduce(or_, wanted))
+    df = df.withColumn("_e", F.from_json("value", f"timestamp string, type string, payload struct<type: string, id: string, cwd: string, model: string, turn_id: string, forked_from_id: string, parent_session_id: string, source: string, info: struct<total_token_usage: {_TOKENS}, last_token_usage: {_TOKENS}>>"))
+    p, ts = F.col("_e.payload"), parse_source_ts(F.col("_e.timestamp"))
+    head = F.col("_e.type") == "session_meta"
+    parent = F.coalesce(p["forked_from_id"], p["parent_session_id"], F.get_json_object(p["source"], "$.subagent.thread_spawn.parent_thread_id"))
+    for value, into in (
+        (F.when(head, F.nullif(p["cwd"], F.lit(""))), "_cwd"), (F.when(F.col("_e.type") == "turn_context", F.nullif(p["model"], F.lit(""))), "_model"), (F.when(p["type"] == "task_started", p["turn_id"]), "_turn"),
+        (F.when(head, p["id"]), "_session"), (F.when(head, parent), "parent_id"), (F.when(head & parent.isNotNull(), ts), "fork_ts"),
+    ):
+        df = _sticky(df, value, into)
+    keys = {"input": "input_tokens", "cached": "cached_input_tokens", "output": "output_tokens", "reasoning": "reasoning_output_tokens"}
+    total, last = p["info"]["total_token_usage"], p["info"]["last_token_usage"]
+    seen = df.filter((p["type"] == "token_count") & (total.isNotNull() | last.isNotNull())).select(
+        "source_path", F.col("line_no").cast("long").alias("source_order"), F.coalesce(ts, F.lit(0).cast("long")).alias("ts"), "_cwd", "_model", "_turn", "_session", "parent_id", "fork_ts",
+        *(F.when(x.isNotNull(), F.coalesce(x[k], F.lit(0))).cast("long").alias(f"{start}{f}") for start, x in (("", total), ("last_", last)) for f, k in keys.items()),
+    )
+    sums = seen.select(lines.session_from_path(F.col("source_path")).alias("session_id"), "ts", *keys).filter(reduce(or_, (F.col(f) > 0 for f in keys)))
+    forks = seen.filter("parent_id is not null").select(F.col("source_path").alias("source_order"), "parent_id", "fork_ts").distinct()
+    base = counters.inherited(forks, sums, list(keys)).select(F.col("source_order").alias("source_path"), *(F.col(f).alias(f"base_{f}") for f in keys))
+    again = counters.replays(seen.filter("parent_id is not null"), sums).withColumn("replayed", F.lit(True))
+    nth = F.count_if(reduce(or_, (F.col(f) > 0 for f in keys))).over(Window.partitionBy("source_path").orderBy("source_order").rowsBetween(Window.unboundedPreceding, 0))
+    fork, found = F.col("parent_id").isNotNull(), F.col("base_input").isNotNull()
+    dealt = seen.withColumn("_nth", nth).join(base, "source_path", "left").join(again, ["source_path", "source_order"], "left")
+    dealt = dealt.withColumn("inherited", fork & ((F.col("ts") <= F.col("fork_ts")) | (~found & (F.col("_nth") == 1) & (F.coalesce("input", F.lit(0)) + F.coalesce("output", F.lit(0)) > 0))))
+    about = dealt.select("source_path", "source_order", "_cwd", "_model", "_turn", "_session", (fork & ~found).alias("_open"))
+    d = counters.deltas(dealt).withColumnRenamed("output", "out").join(about, ["source_path", "source_order"])
+    nth = F.row_number().over(Window.partitionBy("source_path").orderBy("source_order")) - 1
     df = d.withColumns({
-        **codex_buckets(F.col("input"), F.col("cached"), F.col("out")), "source": F.lit("codex"), "source_record_id": F.col("_turn_id"), "session_id": F.coalesce("_session", lines.session_from_path(F.col("source_path"))),
-        "request_id": F.lit(None).cast("string"), "message_id": F.lit(None).cast("string"), "project": F.col("_cwd"), "provider": F.lit("openai"), "model": F.col("_model"), "timestamp_ms": F.col("ts"),
-        "cache_write_1h": F.lit(0).cast("long"), "source_cost_usd": F.lit(None).cast("double"), "cost_authoritative": F.lit(False), "conservative_undercount": F.lit(False),
+        **codex_buckets(F.col("input"), F.col("cached"), F.col("out")), "source": F.lit("codex"), "source_record_id": F.concat(F.lit("event:"), nth.cast("string")), "session_id": F.coalesce("_session", lines.session_from_path(F.col("source_path"))),
+        "request_id": F.col("_turn"), "message_id": F.lit(None).cast("string"), "project": F.col("_cwd"), "provider": F.lit("openai"), "model": F.col("_model"), "timestamp_ms": F.col("ts"),
+        "cache_write_1h": F.lit(0).cast("long"), "source_cost_usd": F.lit(None).cast("double"), "cost_authoritative": F.lit(False), "conservative_undercount": F.col("mixed") | F.col("_open"),
         "cache_chain_excluded": F.lit(False), "sidechain": F.lit(False), "dedupe_confidence": F.lit("strong"),
     })
     return df.filter(total_tokens() > 0).select(*columns(USAGE_EVENTS))

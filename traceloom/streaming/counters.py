@@ -2,50 +2,133 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIELDS = ("input", "cached", "output", "reasoning")
-SCHEMA = "source_path string, source_order long, ts long, input long, cached long, output long, reasoning long"
+SCHEMA = "source_path string, source_order long, ts long, input long, cached long, output long, reasoning long, mixed boolean"
+Four = tuple[int, int, int, int]
+NONE: Four = (0, 0, 0, 0)
+
+
+def _each(f, *parts: Four) -> Four:
+    return tuple(f(*x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+
+
+def _covers(a: Four, b: Four) -> bool:
+    return all(x >= y for x, y in zip(a, b, strict=True))
+
+
+def _less(a: Four, b: Four) -> Four:
+    return _each(lambda x, y: max(x - y, 0), a, b)
 
 
 class Counter:
-    """Totals of one file, in order of its lines. A total seen before is a replay and adds nothing; one that is below
-    the last in some part begins a stream of its own, of which it is the first request."""
+    """One file's totals, in order of its lines.
 
-    def __init__(self, seen: set[tuple[int, ...]] = frozenset(), base: tuple[int, ...] | None = None, ring: int = 64):
-        self.inherited, self.ring, self.last = set(seen), ring, base
-        self.recent: list[tuple[int, ...]] = []
+    A line has the running total of its stream, what its last request took, or both. What has been billed and the
+    highest total so far (the mark) are kept by part. A total that was met before, here or in the session that this one
+    was forked from, is a replay. A total below the mark shows that several streams share the file: from then on no
+    request is billed beyond what lifts the total over all that has been billed, so the gap below the mark is never
+    billed again. Once totals and bills differ, a request's own numbers are trusted more than differences.
+    """
 
-    def add(self, total: tuple[int, ...]) -> tuple[int, ...] | None:
-        if total in self.recent or total in self.inherited:
-            return None
-        self.recent = [*self.recent[-self.ring + 1 :], total]
-        before = self.last
-        self.last = total
-        if before is None or any(t < b for t, b in zip(total, before, strict=True)):
-            return total
-        return tuple(t - b for t, b in zip(total, before, strict=True))
+    def __init__(self, base: Four | None = None, ring: int = 64):
+        self.billed, self.before, self.mark = NONE, base or NONE, base or NONE
+        self.recent: deque[Four] = deque(maxlen=ring)
+        self.differs = self.mixed = False
+
+    def _note(self, total: Four) -> None:
+        self.before, self.mark = total, _each(max, self.mark, total)
+        if not self.recent or self.recent[-1] != total:
+            self.recent.append(total)
+
+    def start_at(self, total: Four) -> None:
+        """A total that a fork took over: the ground, not a request."""
+        self._note(total)
+
+    def _over(self, total: Four, ground: Four) -> Four:
+        return _each(lambda t, g, b: max(t - (max(g, b) if t >= g else b), 0), total, ground, self.billed)
+
+    def add(self, total: Four | None, last: Four | None = None, replay: bool = False) -> Four:
+        """What a line adds to the bill."""
+        if total is None:
+            took = last or NONE
+            self.billed = _each(int.__add__, self.billed, took)
+            if last is not None:
+                self.before, self.mark = self.billed, _each(max, self.mark, self.billed)
+            return took
+        if replay or total in self.recent:
+            return NONE
+        self.mixed |= not _covers(total, self.mark)
+        ground = _each(max, self.mark, self.before)
+        gain = _less(total, ground)
+        if self.mixed:
+            over = self._over(total, ground)
+            took = over if last is None else _each(min, last, over)
+        elif last is not None:
+            took = gain if not self.differs and _covers(total, ground) and _covers(last, gain) else last
+        else:
+            took = self._over(total, ground) if self.differs else gain
+        self.billed = _each(int.__add__, self.billed, took)
+        self.differs |= total != self.billed
+        self._note(total)
+        return took
 
 
 def deltas(totals: DataFrame) -> DataFrame:
-    """totals: source_path, source_order, ts and the four sums. One row a request, by file: the order decides, and no
-    window can say it, so a file's lines come to one task (a file is a session's log)."""
+    """totals: source_path, source_order, ts and the four sums (null where a line has none); also, if there are such
+    columns, last_* (the four numbers of the last request), base_* (what a fork starts from), inherited (ground that a
+    fork took over) and replayed. One row a request; `mixed` once several streams share the file.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        c, out = Counter(), []
-        for r in rows.sort_values("source_order", kind="stable").itertuples(index=False):
-            d = c.add(tuple(int(getattr(r, f)) for f in FIELDS))
-            if d and any(d):
-                out.append((r.source_path, r.source_order, r.ts, *d))
-        return pd.DataFrame(out, columns=["source_path", "source_order", "ts", *FIELDS])
+    The order of a file's lines decides, and no window can say it. Files are dealt and sorted by Spark; a task reads
+    them line by line and holds one counter, however long a file is.
+    """
+    have = set(totals.columns)
+    opt = lambda c, t: (F.col(c) if c in have else F.lit(None)).cast(t).alias(c)
+    names = [*FIELDS, *(f"last_{f}" for f in FIELDS), *(f"base_{f}" for f in FIELDS)]
+    rows = totals.select("source_path", F.col("source_order").cast("long").alias("source_order"), F.col("ts").cast("long").alias("ts"), *(opt(c, "long") for c in names), opt("inherited", "boolean"), opt("replayed", "boolean"))
 
-    return totals.select("source_path", "source_order", "ts", *FIELDS).groupBy("source_path").applyInPandas(fold, SCHEMA)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, c = object(), Counter()
+        for batch in batches:
+            out = []
+            for p, order, ts, *rest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                total, last, base = (None if all(v is None for v in x) else tuple(v or 0 for v in x) for x in (rest[:4], rest[4:8], rest[8:12]))
+                total, last = (x if x and any(x) else None for x in (total, last))
+                if p != path:
+                    path, c = p, Counter(base)
+                if rest[12]:
+                    if total:
+                        c.start_at(total)
+                    continue
+                took = c.add(total, last, bool(rest[13]))
+                if any(took):
+                    out.append((p, order, ts, *took, c.mixed))
+            kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["source_path", "source_order", "ts", *FIELDS, "mixed"])
+
+    return rows.repartition("source_path").sortWithinPartitions("source_path", "source_order").mapInArrow(fold, SCHEMA)
 
 
 def inherited(children: DataFrame, parents: DataFrame, values: list[str]) -> DataFrame:
     """What a fork starts from: the largest of each of its parent's totals up to the time of the fork. children:
-    source_order, parent_id, fork_ts; parents: session_id, ts, values."""
-    p = parents.select(F.col("session_id").alias("parent_id"), "ts", *values)
-    return children.join(p, "parent_id").filter(F.col("ts") <= F.col("fork_ts")).groupBy("source_order").agg(*(F.max(v).alias(v) for v in values))
+    source_order, parent_id, fork_ts; parents: session_id, ts, values. One running maximum over both together."""
+    none: list[Column] = [F.lit(None).cast(parents.schema[v].dataType).alias(v) for v in values]
+    both = parents.select(F.col("session_id").alias("parent_id"), "ts", F.lit(None).cast(children.schema["source_order"].dataType).alias("source_order"), F.lit(0).alias("_fork"), *values).union(
+        children.select("parent_id", F.col("fork_ts").alias("ts"), "source_order", F.lit(1).alias("_fork"), *none)
+    )
+    w = Window.partitionBy("parent_id").orderBy("ts", "_fork").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.select("source_order", "_fork", F.sum(1 - F.col("_fork")).over(w).alias("_rows"), *(F.max(v).over(w).alias(v) for v in values))
+    return seen.filter("_fork = 1 and _rows > 0").groupBy("source_order").agg(*(F.max(v).alias(v) for v in values))
+
+
+def replays(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """source_path, source_order of children's totals that their parent had reached by the time of the fork. children:
+    source_path, source_order, parent_id, fork_ts, FIELDS; parents: session_id, ts, FIELDS."""
+    first = parents.groupBy(F.col("session_id").alias("parent_id"), *FIELDS).agg(F.min("ts").alias("_first"))
+    return children.join(first, ["parent_id", *FIELDS]).filter(F.col("_first") <= F.col("fork_ts")).select("source_path", "source_order").distinct()
