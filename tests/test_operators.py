@@ -81,6 +81,10 @@ def test_recency_vectors_and_fusion(spark):
     lists = spark.createDataFrame([(0, 0, 1, 5.0, "a"), (0, 1, 2, 4.0, "b"), (1, 0, 1, 7.0, "c"), (1, 1, 1, 1.0, "d")], "view int, rank int, doc_id long, score double, payload string")
     got = {r.doc_id: r for r in fusion.fuse_views(lists, ["doc_id"], ["payload"], 1).collect()}
     assert math.isclose(got[1].score, 1 / 2 + 1 / 2 + 1 / 3) and got[1].payload == "c"
+    lists = spark.createDataFrame([(0, 0, 1, float("inf"), "a"), (1, 0, 1, -2.0, "b"), (2, 0, 1, float("nan"), "c")], lists.schema)
+    got = fusion.fuse_views(lists, ["doc_id"], ["payload"], 0).first()  # k may be 0
+    assert got.score == 3.0 and got.payload == "b"
+    assert fusion.fuse(lists, ["doc_id"], -1).first().score == 3 / 61
 
 
 def test_session_roll_up_equals_a_fold(spark):
@@ -159,9 +163,33 @@ def test_capping_residuals_and_copies(spark):
     assert reconcile.first_by_record(events(spark, [{"source_record_id": "a"}, {"source_record_id": "a"}, {}, {}])).count() == 3
 
 
-def test_counters_skip_replays_and_divide_streams():
-    c = counters.Counter({(9, 0, 0, 0)})
-    assert [c.add(t) for t in [(9, 0, 0, 0), (10, 0, 1, 0), (10, 0, 1, 0), (25, 5, 3, 0), (4, 0, 1, 0), (6, 0, 1, 0)]] == [None, (10, 0, 1, 0), None, (15, 5, 2, 0), (4, 0, 1, 0), (2, 0, 0, 0)]
+def test_counters():
+    four = lambda i: (i, 0, 0, 0) if i is not None else None
+    fold = lambda steps, base=None: (lambda c: [c.add(four(t), four(last))[0] for t, last in steps])(counters.Counter(four(base)))
+    assert fold([(100, None), (150, None), (120, None), (160, None)]) == [100, 50, 0, 10]  # below the mark: another stream
+    assert fold([(100, None), (100, None), (130, 30)]) == [100, 0, 30]  # a replay; a request and its total agree
+    assert fold([(500, 40), (560, 50)]) == [40, 50]  # totals that began elsewhere: the request's own numbers hold
+    assert fold([(None, 7), (None, 5), (12, None), (20, None)]) == [7, 5, 0, 8]
+    assert fold([(320, None), (350, None)], base=300) == [20, 30] and fold([(320, None), (350, 60)], base=300) == [20, 60]
+    c = counters.Counter(four(90))
+    c.start_at(four(95))
+    assert [c.add(four(95)), c.add(four(70), replay=True), c.add(four(99))] == [four(0), four(0), four(4)]
+    assert c.mixed is False and c.add((98, 3, 0, 0)) and c.mixed is True
+
+
+def test_files_are_folded_apart(spark):
+    rows = [("a", 2, 1, 150), ("a", 1, 1, 100), ("b", 1, 1, 70), ("a", 3, 1, 120), ("a", 4, 1, 160), ("b", 2, 1, 70)]
+    t = spark.createDataFrame([(*x, 0, 0, 0) for x in rows], "source_path string, source_order long, ts long, input long, cached long, output long, reasoning long").repartition(3)
+    assert sorted((r.source_path, r.source_order, r.input, r.mixed) for r in counters.deltas(t).collect()) == [("a", 1, 100, False), ("a", 2, 50, False), ("a", 4, 10, True), ("b", 1, 70, False)]
+    assert counters.deltas(t.limit(0)).count() == 0
+
+
+def test_project_names(spark):
+    from pyspark.sql.functions import col
+
+    slugs = {"-Users-kim-Work": ("-Users-kim-Work", "~/Work"), "-Users-kim-src-code-app": ("app", "code-app"), "-home-kim-app": ("kim-app", "~/app"), "-home-kim-dev-my-app": ("my-app", "my-app"), "plain-name": ("plain-name", "plain-name"), "-Users-kim-tools-src-x": ("tools-x", "tools-src-x"), "-c--Users-kim-code-z": ("z", "z"), "-Users-kim": ("kim", "-Users-kim"), "": ("", "")}
+    got = spark.createDataFrame([(k,) for k in slugs], "s string").select("s", projects.decode_slug(col("s")).alias("d"), projects.display_project(col("s")).alias("p")).collect()
+    assert {r.s: (r.d, r.p) for r in got} == slugs
 
 
 def test_measures(spark):

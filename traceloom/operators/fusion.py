@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +16,27 @@ def ranked(hits: DataFrame, *order) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
+def _usable(k: float) -> float:
+    """k, or the default where it is negative or not finite."""
+    return float(k) if math.isfinite(k) and k >= 0 else float(K)
+
+
 def fuse(lists: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """keys with score, the sum of 1 / (k + rank + 1) over the lists an item is in; ranks start at 0."""
-    k = k if k > 0 else K
-    return lists.groupBy(*keys).agg(F.sum(1 / (F.lit(float(k)) + F.col("rank") + 1)).alias("score"))
+    return lists.groupBy(*keys).agg(F.sum(1 / (F.lit(_usable(k)) + F.col("rank") + 1)).alias("score"))
 
 
 def fuse_views(lists: DataFrame, keys: list[str], payload: list[str], k: int = K) -> DataFrame:
-    """As fuse(), with the payload from where an item's own score is highest (first view, first rank on ties).
-    lists has view (number), rank and score."""
-    best = F.struct(~F.isnan("score"), F.col("score"), -F.col("view"), -F.col("rank"))
-    k = k if k > 0 else K
-    return lists.groupBy(*keys).agg(F.sum(1 / (F.lit(float(k)) + F.col("rank") + 1)).alias("fused"), *(F.max_by(c, best).alias(c) for c in payload)).withColumnRenamed("fused", "score")
+    """As fuse(), with the payload from where an item's own score is highest (first view, first rank on ties; a score
+    that is no finite number is below all others). lists has view (number), rank and score."""
+    finite = F.coalesce(~F.isnan("score") & (F.abs("score") != float("inf")), F.lit(False))
+    best = F.struct(finite, F.when(finite, F.col("score")).otherwise(0.0), -F.col("view"), -F.col("rank"))
+    return lists.groupBy(*keys).agg(F.sum(1 / (F.lit(_usable(k)) + F.col("rank") + 1)).alias("fused"), *(F.max_by(c, best).alias(c) for c in payload)).withColumnRenamed("fused", "score")
+
+
+def in_order(fused: DataFrame) -> DataFrame:
+    """Fused hits in their full order: score, the later time, then machine, source, session, path and record."""
+    return fused.orderBy(F.desc("score"), F.desc("ts"), *RECORD_KEY)
 
 
 def federate(results: dict[str, DataFrame], order: list, keys: list[str], k: int = K) -> DataFrame:
