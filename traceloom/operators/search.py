@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,18 +29,19 @@ def bm25(docs: DataFrame, query: str, key: str, text: str = "text") -> DataFrame
     terms = terms_of(query)
     if not terms:
         return docs.withColumn("score", F.lit(0.0))
-    own = docs.withColumn("_tokens", tokens(F.col(text)))
-    own = own.withColumns({"_size": F.size("_tokens"), **{f"_tf{k}": F.size(F.filter("_tokens", _equals(t))) for k, t in enumerate(terms)}}).drop("_tokens")
-    stats = own.agg(F.count("*").alias("n"), F.avg("_size").alias("mean"), *(F.count_if(F.col(f"_tf{k}") > 0).alias(f"df{k}") for k in range(len(terms)))).first()
+    counts = lambda w: F.struct(F.size(w).alias("size"), *(F.size(F.filter(w, _equals(t))).alias(f"tf{k}") for k, t in enumerate(terms)))
+    measured = F.transform(F.array(tokens(F.col(text))), counts)  # of one: a text is cut into tokens once
+    m = F.col("_m")
+    stats = docs.select(F.explode(measured).alias("_m")).agg(F.count("*").alias("n"), F.avg(m["size"]).alias("mean"), *(F.count_if(m[f"tf{k}"] > 0).alias(f"df{k}") for k in range(len(terms)))).first()
 
     def part(k: int) -> Column:
-        tf = F.col(f"_tf{k}").cast("double")
+        tf = m[f"tf{k}"].cast("double")
         idf = F.log(1 + (F.lit(float(stats["n"])) - stats[f"df{k}"] + 0.5) / F.lit(stats[f"df{k}"] + 0.5))
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_size") / F.lit(stats["mean"] or 1.0)))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * m["size"] / F.lit(stats["mean"] or 1.0)))
 
     total = sum((part(k) for k in range(1, len(terms))), part(0))
-    hits = own.filter(sum((F.col(f"_tf{k}") for k in range(1, len(terms))), F.col("_tf0")) > 0).withColumn("score", total)
-    return hits.drop("_size", *(f"_tf{k}" for k in range(len(terms))))
+    matching = F.filter(measured, lambda x: reduce(add, (x[f"tf{k}"] for k in range(len(terms)))) > 0)
+    return docs.withColumn("_m", F.explode(matching)).withColumn("score", total).drop("_m")
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
