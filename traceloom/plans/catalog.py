@@ -63,10 +63,10 @@ def sessions_recent(spark, sf_dir):
     return out.select("source", "session_id", "source_path", "project", "started_at", "last_at", "message_count")
 
 
-@register(f"WITH {SESSIONS_SQL} SELECT source, session_id, source_path, min(started_at) AS started_at, max(last_at) AS last_at, CAST(sum(message_count) AS BIGINT) AS message_count, max_by(project, age) AS project FROM (SELECT *, 0 AS age FROM s WHERE last_at % 2 = 0 UNION ALL SELECT *, 1 AS age FROM s) GROUP BY source, session_id, source_path")
+@register(f"WITH {SESSIONS_SQL} SELECT source, session_id, source_path, min(started_at) AS started_at, max(last_at) AS last_at, CAST(sum(message_count) AS BIGINT) AS message_count, max_by(project, age) AS project FROM (SELECT *, 0 AS age FROM s WHERE message_count > 1 UNION ALL SELECT *, 1 AS age FROM s) GROUP BY source, session_id, source_path")
 def sessions_merge(spark, sf_dir):
     s = _sessions(spark, sf_dir)
-    return sessions.merge(s.filter("last_at % 2 = 0"), s)
+    return sessions.merge(s.filter("message_count > 1"), s)
 
 
 _SCOPED = "cwd AS (SELECT *, '/home/u' || CAST(started_at // 1000 % 5 AS VARCHAR) || CASE WHEN started_at // 1000 % 2 = 0 THEN '/App' ELSE '_x' END AS cwd, CASE WHEN started_at // 1000 % 7 = 0 THEN '/home/u1' END AS git_root FROM s)"
@@ -289,25 +289,26 @@ def tail_preview(spark, sf_dir):
     return context.tail(records(spark, sf_dir), 3).select("doc_id")
 
 
-@register(f"WITH r AS ({RECORDS_SQL}), c AS (SELECT doc_id, source, project AS session_id, turn_id, ts, role, left(text, 1) AS text FROM r), x AS (SELECT *, lag(role) OVER w AS r0, lag(text) OVER w AS t0, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY source, session_id ORDER BY turn_id, ts, doc_id)) SELECT doc_id FROM x WHERE n = 1 OR NOT (r0 IS NOT DISTINCT FROM role AND t0 IS NOT DISTINCT FROM text)")
+@register(f"WITH r AS ({RECORDS_SQL}), x AS (SELECT doc_id, role, text, lag(role) OVER w AS r0, lag(text) OVER w AS t0, row_number() OVER w AS n FROM r WINDOW w AS (PARTITION BY source, session_id ORDER BY turn_id, ts, doc_id)) SELECT doc_id FROM x WHERE n = 1 OR NOT (r0 IS NOT DISTINCT FROM role AND t0 IS NOT DISTINCT FROM text)")
 def consecutive_dedupe(spark, sf_dir):
-    c = records(spark, sf_dir).withColumns({"session_id": F.col("project"), "text": F.substring("text", 1, 1)})
-    return transfer.drop_repeats(c).select("doc_id")
+    return transfer.drop_repeats(records(spark, sf_dir)).select("doc_id")
 
 
 @register()
 def compacted_transcripts(spark, sf_dir):
-    return transfer.compact(records(spark, sf_dir).withColumn("text", F.substring("text", 1, 1)))
+    return transfer.compact(records(spark, sf_dir))
 
 
-@register(f"""WITH RECURSIVE r AS ({RECORDS_SQL}), e AS (SELECT doc_id, 'a' || CAST(doc_id // 3000 AS VARCHAR) AS identifier FROM r UNION SELECT doc_id, 'b' || CAST(doc_id // 5000 AS VARCHAR) FROM r WHERE turn_id = 0),
-c(doc_id) AS (SELECT doc_id FROM r WHERE doc_id = 1000 UNION SELECT y.doc_id FROM c JOIN e x ON c.doc_id = x.doc_id JOIN e y ON x.identifier = y.identifier WHERE y.doc_id < 40000)
+#: Conversations refer to each other in pairs and, every fifth, along a chain of ten: closures of several rounds.
+@register(f"""WITH RECURSIVE r AS ({RECORDS_SQL}), e AS (SELECT doc_id, session_id AS identifier FROM r UNION SELECT doc_id, 'pair' || CAST(doc_id // 2000 AS VARCHAR) FROM r WHERE turn_id = 0 UNION SELECT doc_id, 'ten' || CAST(doc_id // 10000 AS VARCHAR) FROM r WHERE turn_id = 1 AND doc_id // 1000 % 5 = 0),
+c(doc_id) AS (SELECT doc_id FROM r WHERE doc_id = 1000 UNION SELECT y.doc_id FROM c JOIN e x ON c.doc_id = x.doc_id JOIN e y ON x.identifier = y.identifier)
 SELECT doc_id FROM c""")
 def interaction_closure(spark, sf_dir):
-    r = records(spark, sf_dir).filter("doc_id < 40000")
-    three = r.select("doc_id", F.concat(F.lit("a"), F.expr("doc_id div 3000").cast("string")).alias("identifier"))
-    five = r.filter("turn_id = 0").select("doc_id", F.concat(F.lit("b"), F.expr("doc_id div 5000").cast("string")).alias("identifier"))
-    return context.closure(three.union(five), r.filter("doc_id = 1000"), "doc_id")
+    r, conv = records(spark, sf_dir), F.expr("doc_id div 1000")
+    edges = r.select("doc_id", F.col("session_id").alias("identifier"))
+    for name, size, on in (("pair", 2000, F.col("turn_id") == 0), ("ten", 10000, (F.col("turn_id") == 1) & (conv % 5 == 0))):
+        edges = edges.union(r.filter(on).select("doc_id", F.concat(F.lit(name), F.expr(f"doc_id div {size}").cast("string"))))
+    return context.closure(edges, r.filter("doc_id = 1000"), "doc_id")
 
 
 @register()
@@ -406,11 +407,11 @@ def counter_delta(spark, sf_dir):
     return counters.deltas(e)
 
 
-@register(f"WITH e AS ({USAGE_SQL}), c AS (SELECT source_order, session_id, timestamp_ms FROM e WHERE source = 'codex' AND source_order % 50 = 0), p AS (SELECT session_id, timestamp_ms, raw_input, output FROM e WHERE source = 'codex' AND source_order % 50 <> 0) SELECT c.source_order, max(p.raw_input) AS raw_input, max(p.output) AS output FROM c JOIN p ON c.session_id = p.session_id AND p.timestamp_ms <= c.timestamp_ms GROUP BY c.source_order")
+@register(f"WITH e AS ({USAGE_SQL}), c AS (SELECT source_order, session_id, timestamp_ms FROM e WHERE source = 'claude'), p AS (SELECT session_id, timestamp_ms, raw_input, output FROM e WHERE source = 'codex') SELECT c.source_order, max(p.raw_input) AS raw_input, max(p.output) AS output FROM c JOIN p ON c.session_id = p.session_id AND p.timestamp_ms <= c.timestamp_ms GROUP BY c.source_order")
 def asof_parent(spark, sf_dir):
-    e = usage_events(spark, sf_dir).filter("source = 'codex'")
-    child = e.filter("source_order % 50 = 0").select("source_order", F.col("session_id").alias("parent_id"), F.col("timestamp_ms").alias("fork_ts"))
-    return counters.inherited(child, e.filter("source_order % 50 <> 0").withColumnRenamed("timestamp_ms", "ts"), ["raw_input", "output"])
+    e = usage_events(spark, sf_dir)
+    child = e.filter("source = 'claude'").select("source_order", F.col("session_id").alias("parent_id"), F.col("timestamp_ms").alias("fork_ts"))
+    return counters.inherited(child, e.filter("source = 'codex'").withColumnRenamed("timestamp_ms", "ts"), ["raw_input", "output"])
 
 
 # --- activity -------------------------------------------------------------------------------------------------------
