@@ -42,7 +42,7 @@ BITS_EACH = 10  # of the filter, for each entry
 PROBES = 5
 WEIGHT = 0.3
 CHUNK = 2_000_000  # tokens at a time
-SHARD = 4_000_000  # tokens a shard
+SHARD = 1_000_000  # tokens a shard
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
@@ -207,7 +207,7 @@ def questions(chunks: DataFrame, shards: int) -> DataFrame:
     return chunks.select("chunk", "codes", "words", "n", "train").mapInArrow(ask, "shard long, chunk long, words long, hashes binary, counts binary")
 
 
-def answers(asked: DataFrame, bits_each: int = BITS_EACH) -> DataFrame:
+def answers(asked: DataFrame, shards: int, bits_each: int = BITS_EACH) -> DataFrame:
     """chunk, shard, levels (a byte for each hash asked), counts (exact, of words); and, with a null chunk, the number of
     words that a shard has learned, as types."""
 
@@ -229,7 +229,7 @@ def answers(asked: DataFrame, bits_each: int = BITS_EACH) -> DataFrame:
             "types": pa.array([0] * len(chunk) + [int(learned[known].sum())], pa.int64()),
         })
 
-    return asked.groupBy("shard").applyInArrow(answer, "chunk long, shard long, levels binary, counts binary, types long")
+    return asked.repartition(1 + shards // 4, "shard").groupBy("shard").applyInArrow(answer, "chunk long, shard long, levels binary, counts binary, types long")
 
 
 def log_probabilities(count: np.ndarray, before: np.ndarray, joint: np.ndarray, tokens: int, types: int) -> np.ndarray:
@@ -244,7 +244,7 @@ def score(docs: DataFrame, text: str, train: Column, bits_each: int = BITS_EACH)
     chunks = cut(encoded(docs, text, train), "chunks")
     tokens, trained = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
     shards = 1 + tokens // SHARD
-    found = cut(answers(questions(chunks, shards), bits_each), "levels")
+    found = cut(answers(questions(chunks, shards), shards, bits_each), "levels")
     types = found.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
     back = found.filter("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("shard", "levels", "counts")).alias("found"))  # of one chunk
     joined = chunks.select("chunk", "rows", "codes", "words", "n").join(back, "chunk").select("rows", "codes", "words", "n", "found")
