@@ -37,8 +37,8 @@ class Fit:
     least: int = 4  # rows with a term
     alone: float = 2.5  # standard deviations by which a term tells the classes apart
     together: float = 5.0  # and by which a pair does beyond its two terms
-    paired: float = 0.02  # share of the rows that a term is in, to be looked at in pairs
-    factors: int = 8
+    paired: float = 0.05  # share of the rows that a term is in, to be looked at in pairs
+    factors: int = 4
     steps: int = 400
     rate: float = 0.05
     l2: float = 4e-5
