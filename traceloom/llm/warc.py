@@ -208,7 +208,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{path} has {got} records of {n}")
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    spread = manifest.repartition(F.col("path"))
+    spread = manifest.repartition(max(manifest.count(), 1), "path")  # one row a file
     return spread.mapInArrow(read_batches, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
