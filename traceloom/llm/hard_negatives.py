@@ -75,6 +75,8 @@ def reaching(q: np.ndarray, q_tail: np.ndarray, least: np.ndarray, x: np.ndarray
     needed = needed[order]
     n = int(np.searchsorted(-needed, 0))
     x, x_tail, needed = x[order[:n]], x_tail[order[:n]], needed[:n]
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     lists = np.searchsorted(-needed, -np.arange(steps), side="left")  # rows in the lists of a step
     a = r = np.zeros(0, np.int64)
     part = np.zeros((len(q), n), q.dtype)
