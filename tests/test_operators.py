@@ -163,18 +163,65 @@ def test_capping_residuals_and_copies(spark):
     assert reconcile.first_by_record(events(spark, [{"source_record_id": "a"}, {"source_record_id": "a"}, {}, {}])).count() == 3
 
 
-def test_counters():
-    four = lambda i: (i, 0, 0, 0) if i is not None else None
-    fold = lambda steps, base=None: (lambda c: [c.add(four(t), four(last))[0] for t, last in steps])(counters.Counter(four(base)))
-    assert fold([(100, None), (150, None), (120, None), (160, None)]) == [100, 50, 0, 10]  # below the mark: another stream
-    assert fold([(100, None), (100, None), (130, 30)]) == [100, 0, 30]  # a replay; a request and its total agree
-    assert fold([(500, 40), (560, 50)]) == [40, 50]  # totals that began elsewhere: the request's own numbers hold
-    assert fold([(None, 7), (None, 5), (12, None), (20, None)]) == [7, 5, 0, 8]
-    assert fold([(320, None), (350, None)], base=300) == [20, 30] and fold([(320, None), (350, 60)], base=300) == [20, 60]
-    c = counters.Counter(four(90))
-    c.start_at(four(95))
-    assert [c.add(four(95)), c.add(four(70), replay=True), c.add(four(99))] == [four(0), four(0), four(4)]
-    assert c.mixed is False and c.add((98, 3, 0, 0)) and c.mixed is True
+def bills(lines, ground=None):
+    four = lambda i: i if i is None or isinstance(i, tuple) else (i, 0, 0, 0)
+    return [b[0] for b, _ in counters.fold([(four(t), four(r), *(more or (False, False))) for t, r, *more in lines], four(ground))]
+
+
+def test_counter_rules_by_case():
+    assert bills([(None, 7), (None, 5), (12, None), (20, None)]) == [7, 5, 0, 8]  # requests alone, then their total
+    assert bills([(100, None), (150, None)]) == [100, 50]  # one stream, totals alone
+    assert bills([(100, None), (100, None), (130, 30)]) == [100, 0, 30]  # a replay; a request and its total agree
+    assert bills([(500, 40), (560, 50)]) == [40, 50]  # totals that began elsewhere: the request's own numbers hold
+    assert bills([(100, 100), (150, 20)]) == [100, 20] and bills([(100, 100), (150, 80)]) == [100, 50]  # the smaller of the two
+    assert bills([(100, None), (150, None), (120, None), (160, None)]) == [100, 50, 0, 10]  # below the highest: another stream
+    assert bills([(100, None), (60, 60), (130, 90)]) == [100, 0, 30]  # several streams: no more than lifts what is paid
+    assert bills([(320, None), (350, None)], 300) == [20, 30] and bills([(320, None), (350, 60)], 300) == [20, 60]  # a fork's ground
+    assert bills([(95, None, False, True), (95, None), (70, None, True, False), (99, None)], 90) == [0, 0, 0, 4]  # met, replayed
+    assert bills([(k, None) for k in range(1, 70)] + [(1, None), (68, None)]) == [1] * 69 + [0, 0]  # an old total is billed by no rule twice
+    assert [m for _, m in counters.fold([((9, 0, 0, 0), None, False, False), ((9, 1, 0, 0), None, False, False), ((8, 2, 0, 0), None, False, False)])] == [False, False, True]
+
+
+def test_counters_by_a_plain_reading_of_the_rules():
+    """Nothing is kept between lines: each line looks back at all lines before it."""
+    r = random.Random(3)
+
+    def plain(lines, ground):
+        billed, noted, out = [], [], []
+        for k, (total, request, replayed, inherited) in enumerate(lines):
+            sums = [tuple(sum(b[i] for b in billed[: j + 1]) for i in range(4)) for j in range(k)]
+            paid = sums[-1] if sums else (0,) * 4
+            tops = [ground or (0,) * 4, *(t for _, t in noted), *(s for s, (t, q, _, own) in zip(sums, lines, strict=False) if t is None and q is not None and not own)]
+            top = tuple(max(x[i] for x in tops) for i in range(4))
+            seen = [t for n, (_, t) in enumerate(noted) if not n or noted[n - 1][1] != t][-64:]
+            bill = (0,) * 4
+            if total is None and not inherited:
+                bill = request or bill
+            elif total is not None and inherited:
+                noted.append((None, total))
+            elif total is not None and not replayed and total not in seen:
+                below = lambda t, j: any(a < b for a, b in zip(t, j, strict=True))
+                mixed = any(own for own, _ in noted) or below(total, top)
+                lifted = tuple(max(0, t - (max(p, h) if t >= h else p)) for t, p, h in zip(total, paid, top, strict=True))
+                grown = tuple(max(0, t - h) for t, h in zip(total, top, strict=True))
+                trusted = all(sums[j] == lines[j][0] for j in range(k) if billed[j] is not None and (lines[j][0], j) in own_totals)
+                bill = lifted if request is None else tuple(map(min, request, lifted)) if mixed else grown if trusted and not below(request, grown) else request
+                noted.append((mixed, total))
+                own_totals.add((total, k))
+            billed.append(bill)
+            out.append(bill)
+        return out
+
+    for _ in range(1500):
+        size = r.choice([2, 4, 30])
+        four = lambda: (lambda x: x if any(x) else None)(tuple(r.randrange(size) for _ in range(4)))  # noqa: B023, E731
+        own_totals: set = set()
+        now, lines = (0,) * 4, []
+        for _ in range(r.randrange(1, 12)):
+            now = tuple(a + r.randrange(size) for a in now) if r.random() < 0.6 else now
+            lines.append((r.choice([None, now, now, now, four()]) if any(now) else None, r.choice([None, four()]), r.random() < 0.1, r.random() < 0.08))
+        ground = r.choice([None, four()])
+        assert [b for b, _ in counters.fold(lines, ground)] == plain(lines, ground)
 
 
 def test_files_are_folded_apart(spark):

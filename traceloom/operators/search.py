@@ -44,11 +44,6 @@ def bm25(docs: DataFrame, query: str, key: str, text: str = "text") -> DataFrame
     return docs.withColumn("_m", F.explode(matching)).withColumn("score", total).drop("_m")
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """term, key, tf: the inverted table, for many queries over the same texts."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
-
-
 def recency(score: Column, ts: Column, now_ms: int, weight: float = 1.0, half_life_days: float = 30.0) -> Column:
     """score * (1 + weight * 2^(-age / half-life)); unchanged where a part is zero or less; a future time has age 0."""
     if weight <= 0 or half_life_days <= 0:

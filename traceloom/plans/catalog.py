@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, projects, text, times
-from ..operators import activity, context, evaluate, fusion, reconcile, search, sessions, transfer, usage, vectors
+from ..operators import activity, context, evaluate, fusion, inverted, reconcile, search, sessions, transfer, usage, vectors
 from ..operators import records as rec
 from ..operators.records import Filter
 from ..streaming import counters
@@ -183,13 +183,24 @@ bm AS (SELECT tf.doc_id, sum(ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf
        FROM tf JOIN df ON tf.term = df.term JOIN tok ON tf.doc_id = tok.doc_id CROSS JOIN n GROUP BY tf.doc_id)"""
 
 
-def _bm25(spark, sf_dir, query=QUERY):
-    return search.bm25(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), query, "doc_id")
+_indexes: dict[tuple[str, str], inverted.Index] = {}
+
+
+def _index(spark, sf_dir) -> inverted.Index:
+    """The index of a folder's documents, built when a session first asks for it."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _indexes:
+        _indexes[name] = inverted.Index.build(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return _indexes[name]
+
+
+def _hits(found: DataFrame, *more: str) -> DataFrame:
+    return found.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), *more)
 
 
 @register(f"WITH {_bm25_sql()} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
 def bm25_topk(spark, sf_dir):
-    return _bm25(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    return _hits(_index(spark, sf_dir).top(QUERY, 20)).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 _TS = f"({BASE_MS} + doc_id * 3600000)"
@@ -197,16 +208,16 @@ _TS = f"({BASE_MS} + doc_id * 3600000)"
 
 @register(f"WITH {_bm25_sql()} SELECT doc_id, round(score * (1 + exp(-ln(2) * greatest({NOW_MS} - {_TS}, 0) / 86400000.0 / 30.0)), 6) AS score FROM bm ORDER BY 2 DESC, doc_id LIMIT 20")
 def bm25_recency(spark, sf_dir):
-    ts = F.lit(BASE_MS) + F.col("doc_id") * 3_600_000
-    hits = _bm25(spark, sf_dir).select("doc_id", F.round(search.recency(F.col("score"), ts, NOW_MS), 6).alias("score"))
-    return hits.orderBy(F.desc("score"), "doc_id").limit(20)
+    ts = F.lit(BASE_MS) + F.col("key") * 3_600_000
+    fresh = lambda found: found.withColumn("score", search.recency(F.col("score"), ts, NOW_MS))
+    return _hits(_index(spark, sf_dir).top(QUERY, 20, fresh, 2.0)).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @register(f"WITH {_bm25_sql()}, x AS (SELECT bm.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY round(score, 6) DESC, bm.doc_id) AS rank_in_source FROM bm JOIN documents d ON bm.doc_id = d.doc_id) SELECT * FROM x WHERE rank_in_source <= 3")
 def bm25_top_per_source(spark, sf_dir):
     from pyspark.sql import Window
 
-    hits = _bm25(spark, sf_dir).select("doc_id", "source", F.round("score", 6).alias("score"))
+    hits = _hits(_index(spark, sf_dir).matches(QUERY)).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     n = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))
     return hits.withColumn("rank_in_source", n).filter("rank_in_source <= 3").drop("score")
 
@@ -238,21 +249,33 @@ _SEM = "sem AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY distance, v
 @register(f"WITH {_bm25_sql()}, {_KNN}, {_LEX}, {_SEM}, f AS (SELECT doc_id, sum(1 / (60.0 + rank + 1)) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM sem) GROUP BY doc_id) SELECT doc_id, round(score, 9) AS score FROM f ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
 def hybrid_rrf(spark, sf_dir):
     n = rec.candidates(10, hybrid=True)
-    lex = _bm25(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(n)
+    lex = _hits(_index(spark, sf_dir).top(QUERY, n)).orderBy(F.desc("score"), "doc_id").limit(n)
     sem = vectors.nearest(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), _query_vector(spark, sf_dir), n).select("doc_id", "distance")
     lists = fusion.ranked(lex, F.desc("score"), "doc_id").select("doc_id", "rank").unionByName(fusion.ranked(sem, "distance", "doc_id").select("doc_id", "rank"))
     out = fusion.fuse(lists, ["doc_id"]).withColumn("score", F.round("score", 9))
     return out.orderBy(F.desc("score"), "doc_id").limit(10)
 
 
-@register()
+_VIEWS = (QUERY, "stupid thing", "that was")
+_N_VIEW = rec.candidates(20, views=3)
+
+
+def _views_sql() -> str:
+    """Each view's first hits by rounded score; a document's language comes from where its own score is highest."""
+    views = ", ".join(f"v{k} AS (WITH {_bm25_sql(q)} SELECT {k} AS view, doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) - 1 AS rank FROM bm QUALIFY rank < {_N_VIEW})" for k, q in enumerate(_VIEWS))
+    every = " UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(len(_VIEWS)))
+    return f"WITH {views}, f AS (SELECT v.doc_id, arg_max(d.lang, struct_pack(s := v.score, v := -view, r := -rank)) AS lang, sum(1 / (60.0 + rank + 1)) AS score FROM ({every}) v JOIN documents d ON d.doc_id = v.doc_id GROUP BY v.doc_id) SELECT doc_id, lang, round(score, 9) AS score FROM f ORDER BY round(score, 9) DESC, doc_id LIMIT 20"
+
+
+@register(_views_sql())
 def multiview_rrf(spark, sf_dir):
     lists = None
-    for view, q in enumerate((QUERY, "stupid thing", "that was")):
-        top = _bm25(spark, sf_dir, q).select("doc_id", "lang", "score").orderBy(F.desc("score"), "doc_id").limit(rec.candidates(20, views=3))
+    for view, q in enumerate(_VIEWS):
+        top = _hits(_index(spark, sf_dir).top(q, _N_VIEW)).orderBy(F.desc("score"), "doc_id").limit(_N_VIEW)
         part = fusion.ranked(top, F.desc("score"), "doc_id").withColumn("view", F.lit(view))
         lists = part if lists is None else lists.unionByName(part)
-    return fusion.fuse_views(lists, ["doc_id"], ["lang"]).orderBy(F.desc("score"), "doc_id").limit(20)
+    lists = table(spark, sf_dir, "documents").select("doc_id", "lang").join(F.broadcast(lists), "doc_id")  # three lists of fixed length
+    return fusion.fuse_views(lists, ["doc_id"], ["lang"]).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @register(f"WITH r AS ({RECORDS_SQL}), x AS (SELECT source AS machine, doc_id, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) - 1 AS rank FROM r WHERE role = 'assistant') SELECT machine, doc_id, round(1 / (60.0 + rank + 1), 9) AS score FROM x WHERE rank < 10")
@@ -401,7 +424,23 @@ def first_copy_dedupe(spark, sf_dir):
     return reconcile.first_by_record(usage_events(spark, sf_dir)).select("source_order")
 
 
-@register()
+_PARTS = ("input", "cached", "output", "reasoning")
+#: A file's lines in turn, each against what the lines before it have paid (p_), their highest total (h_) and the latest totals.
+COUNTERS_SQL = f"""
+WITH RECURSIVE e AS ({USAGE_SQL}),
+l AS (SELECT source_path, source_order, timestamp_ms AS ts, raw_input AS input, cache_read AS cached, output, reasoning, row_number() OVER (PARTITION BY source_path ORDER BY source_order) AS n FROM e),
+t AS (SELECT *, input || ',' || cached || ',' || output || ',' || reasoning AS total, input = 0 AND cached = 0 AND output = 0 AND reasoning = 0 AS nothing FROM l),
+s AS (
+  SELECT source_path, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS met, false AS mixed, {", ".join(f"CAST(0 AS HUGEINT) AS {k}_{p}" for k in "phb" for p in _PARTS)} FROM (SELECT DISTINCT source_path FROM t)
+  UNION ALL
+  SELECT source_path, n, CASE WHEN idle THEN met ELSE list_append(met, total)[-64:] END, mixed OR (NOT idle AND ({" OR ".join(f"{p} < h_{p}" for p in _PARTS)})),
+         {", ".join(f"p_{p} + bill_{p}" for p in _PARTS)}, {", ".join(f"CASE WHEN idle THEN h_{p} ELSE greatest(h_{p}, {p}) END" for p in _PARTS)}, {", ".join(f"bill_{p}" for p in _PARTS)}
+  FROM (SELECT *, {", ".join(f"CASE WHEN idle THEN 0 ELSE greatest(0, {p} - greatest(p_{p}, CASE WHEN {p} >= h_{p} THEN h_{p} ELSE 0 END)) END AS bill_{p}" for p in _PARTS)}
+        FROM (SELECT t.*, s.met, s.mixed, {", ".join(f"s.{k}_{p}" for k in "ph" for p in _PARTS)}, t.nothing OR list_contains(s.met, t.total) AS idle FROM s JOIN t ON t.source_path = s.source_path AND t.n = s.n + 1)))
+SELECT s.source_path, t.source_order, t.ts, {", ".join(f"CAST(b_{p} AS BIGINT) AS {p}" for p in _PARTS)}, s.mixed FROM s JOIN t ON t.source_path = s.source_path AND t.n = s.n WHERE {" + ".join(f"b_{p}" for p in _PARTS)} > 0"""
+
+
+@register(COUNTERS_SQL)
 def counter_delta(spark, sf_dir):
     e = usage_events(spark, sf_dir).select("source_path", "source_order", F.col("timestamp_ms").alias("ts"), F.col("raw_input").alias("input"), F.col("cache_read").alias("cached"), "output", "reasoning")
     return counters.deltas(e)

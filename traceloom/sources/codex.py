@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -12,6 +13,7 @@ from ..functions.text import file_name
 from ..functions.times import parse_source_ts
 from ..operators.usage import codex_buckets, total_tokens
 from ..schema import RECORDS, USAGE_EVENTS, columns
+from ..sinks.usage_cache import UsageCache
 from ..streaming import counters
 from . import emit, lines
 
@@ -69,16 +71,42 @@ def history(prompts: DataFrame, rolled: DataFrame) -> DataFrame:
     return out.select(*(c for c in columns(RECORDS) if c != "doc_id"))
 
 
+_PARENT = "payload struct<type: string, id: string, cwd: string, model: string, turn_id: string, forked_from_id: string, parent_session_id: string, source: string"
+
+
+def _parent(p):
+    return F.coalesce(p["forked_from_id"], p["parent_session_id"], F.get_json_object(p["source"], "$.subagent.thread_spawn.parent_thread_id"))
+
+
+def parents(files: DataFrame) -> DataFrame:
+    """source_path, parent_id of files that are forks: what their last head says."""
+    df = files.filter(F.col("value").contains('"session_meta"')).withColumn("_e", F.from_json("value", f"type string, {_PARENT}>"))
+    named = df.filter("_e.type = 'session_meta'").select("source_path", "line_no", _parent(F.col("_e.payload")).alias("parent_id")).filter("parent_id is not null")
+    return named.groupBy("source_path").agg(F.max_by("parent_id", "line_no").alias("parent_id"))
+
+
+def cached_usage(listing: DataFrame, read: Callable[[DataFrame], DataFrame], root: str) -> DataFrame:
+    """usage() of all files of listing (source_path, size, modified), computed only for those that are new or changed
+    and for forks of those. read(paths) gives the lines of files (source_path)."""
+    spark = listing.sparkSession
+
+    def compute(paths: DataFrame, needed: DataFrame) -> DataFrame:
+        return usage(read(paths.union(needed).distinct())).join(paths, "source_path", "left_semi").select(*columns(USAGE_EVENTS))
+
+    sized = listing.withColumn("session_id", lines.session_from_path(F.col("source_path")))
+    return UsageCache(spark, root).refresh(sized, lambda paths: parents(read(paths)), compute)
+
+
 def usage(files: DataFrame) -> DataFrame:
     """Requests from the running totals and last requests of a file, with the model, turn and folder last named before
     them. A fork starts from its parent's totals up to the time of the fork; where the parent isn't there, from its own
     first total, and its requests are marked as an undercount."""
     wanted = [F.col("value").contains(f'"{k}"') for k in ("token_count", "session_meta", "turn_context", "task_started")]
     df = files.filter(reduce(or_, wanted))
-    df = df.withColumn("_e", F.from_json("value", f"timestamp string, type string, payload struct<type: string, id: string, cwd: string, model: string, turn_id: string, forked_from_id: string, parent_session_id: string, source: string, info: struct<total_token_usage: {_TOKENS}, last_token_usage: {_TOKENS}>>"))
+    df = df.withColumn("_e", F.from_json("value", f"timestamp string, type string, {_PARENT}, info: struct<total_token_usage: {_TOKENS}, last_token_usage: {_TOKENS}>>"))
     p, ts = F.col("_e.payload"), parse_source_ts(F.col("_e.timestamp"))
     head = F.col("_e.type") == "session_meta"
-    parent = F.coalesce(p["forked_from_id"], p["parent_session_id"], F.get_json_object(p["source"], "$.subagent.thread_spawn.parent_thread_id"))
+    parent = _parent(p)
     for value, into in (
         (F.when(head, F.nullif(p["cwd"], F.lit(""))), "_cwd"), (F.when(F.col("_e.type") == "turn_context", F.nullif(p["model"], F.lit(""))), "_model"), (F.when(p["type"] == "task_started", p["turn_id"]), "_turn"),
         (F.when(head, p["id"]), "_session"), (F.when(head, parent), "parent_id"), (F.when(head & parent.isNotNull(), ts), "fork_ts"),

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,71 +14,73 @@ FIELDS = ("input", "cached", "output", "reasoning")
 SCHEMA = "source_path string, source_order long, ts long, input long, cached long, output long, reasoning long, mixed boolean"
 Four = tuple[int, int, int, int]
 NONE: Four = (0, 0, 0, 0)
+#: A total that is among so many of the latest ones is a replay.
+LATEST = 64
 
 
-def _each(f, *parts: Four) -> Four:
-    return tuple(f(*x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+def plus(a: Four, b: Four) -> Four:
+    return (a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] + b[3])
 
 
-def _covers(a: Four, b: Four) -> bool:
-    return all(x >= y for x, y in zip(a, b, strict=True))
+def reaches(a: Four, b: Four) -> bool:
+    return a[0] >= b[0] and a[1] >= b[1] and a[2] >= b[2] and a[3] >= b[3]
 
 
-def _less(a: Four, b: Four) -> Four:
-    return _each(lambda x, y: max(x - y, 0), a, b)
+def lift(total: Four, paid: Four, top: Four) -> Four:
+    """By part, how far a total exceeds all that is paid and, unless it lies below it, the highest total so far."""
+    return tuple(max(0, t - max(p, h if t >= h else 0)) for t, p, h in zip(total, paid, top, strict=True))  # type: ignore[return-value]
 
 
-class Counter:
-    """One file's totals, in order of its lines.
+# What a line bills. Each rule has the line's total and request, what is paid, the highest total by part, and whether
+# the totals so far have been the sums of what was billed.
 
-    A line has the running total of its stream, what its last request took, or both. What has been billed and the
-    highest total so far (the mark) are kept by part. A total that was met before, here or in the session that this one
-    was forked from, is a replay. A total below the mark shows that several streams share the file: from then on no
-    request is billed beyond what lifts the total over all that has been billed, so the gap below the mark is never
-    billed again. Once totals and bills differ, a request's own numbers are trusted more than differences.
-    """
 
-    def __init__(self, base: Four | None = None, ring: int = 64):
-        self.billed, self.before, self.mark = NONE, base or NONE, base or NONE
-        self.recent: deque[Four] = deque(maxlen=ring)
-        self.differs = self.mixed = False
+def request_alone(total: None, request: Four, paid: Four, top: Four, agree: bool) -> Four:
+    """No total: the request is billed as it stands."""
+    return request
+
+
+def total_alone(total: Four, request: None, paid: Four, top: Four, agree: bool) -> Four:
+    """No request: what the total adds, in one stream or in several."""
+    return lift(total, paid, top)
+
 
-    def _note(self, total: Four) -> None:
-        self.before, self.mark = total, _each(max, self.mark, total)
-        if not self.recent or self.recent[-1] != total:
-            self.recent.append(total)
+def one_stream(total: Four, request: Four, paid: Four, top: Four, agree: bool) -> Four:
+    """The total has only grown: what it has grown by, if totals can be trusted and the request isn't less; else the request."""
+    grown = lift(total, NONE, top)
+    return grown if agree and reaches(request, grown) else request
 
-    def start_at(self, total: Four) -> None:
-        """A total that a fork took over: the ground, not a request."""
-        self._note(total)
 
-    def _over(self, total: Four, ground: Four) -> Four:
-        return _each(lambda t, g, b: max(t - (max(g, b) if t >= g else b), 0), total, ground, self.billed)
+def several_streams(total: Four, request: Four, paid: Four, top: Four, agree: bool) -> Four:
+    """The file mixes streams: the request, but by part no more than lifts the total over all that is paid."""
+    return tuple(map(min, request, lift(total, paid, top)))  # type: ignore[return-value]
 
-    def add(self, total: Four | None, last: Four | None = None, replay: bool = False) -> Four:
-        """What a line adds to the bill."""
+
+def fold(lines: Iterable[tuple], ground: Four | None = None) -> Iterator[tuple[Four, bool]]:
+    """What each line of one file bills, and whether several streams share the file by then.
+
+    A line: total and request (four numbers or None), replayed (its total is one of its parent's), inherited (its total
+    is the ground that a fork starts from: it is met, not billed). ground: the totals that a fork begins with.
+    """
+    paid, top, met, agree, mixed = NONE, ground or NONE, deque(maxlen=LATEST), True, False
+    for total, request, replayed, inherited in lines:
+        bill = NONE
         if total is None:
-            took = last or NONE
-            self.billed = _each(int.__add__, self.billed, took)
-            if last is not None:
-                self.before, self.mark = self.billed, _each(max, self.mark, self.billed)
-            return took
-        if replay or total in self.recent:
-            return NONE
-        self.mixed |= not _covers(total, self.mark)
-        ground = _each(max, self.mark, self.before)
-        gain = _less(total, ground)
-        if self.mixed:
-            over = self._over(total, ground)
-            took = over if last is None else _each(min, last, over)
-        elif last is not None:
-            took = gain if not self.differs and _covers(total, ground) and _covers(last, gain) else last
-        else:
-            took = self._over(total, ground) if self.differs else gain
-        self.billed = _each(int.__add__, self.billed, took)
-        self.differs |= total != self.billed
-        self._note(total)
-        return took
+            if request is not None and not inherited:
+                bill = request_alone(total, request, paid, top, agree)
+                paid = plus(paid, bill)
+                top = tuple(map(max, top, paid))
+        elif inherited or not (replayed or total in met):
+            if not inherited:
+                mixed = mixed or not reaches(total, top)
+                rule = total_alone if request is None else several_streams if mixed else one_stream
+                bill = rule(total, request, paid, top, agree)
+                paid = plus(paid, bill)
+                agree = agree and total == paid
+            top = tuple(map(max, top, total))
+            if not met or met[-1] != total:
+                met.append(total)
+        yield bill, mixed
 
 
 def deltas(totals: DataFrame) -> DataFrame:
@@ -86,33 +89,37 @@ def deltas(totals: DataFrame) -> DataFrame:
     fork took over) and replayed. One row a request; `mixed` once several streams share the file.
 
     The order of a file's lines decides, and no window can say it. Files are dealt and sorted by Spark; a task reads
-    them line by line and holds one counter, however long a file is.
+    them line by line and holds one file's sums, however long a file is.
     """
     have = set(totals.columns)
     opt = lambda c, t: (F.col(c) if c in have else F.lit(None)).cast(t).alias(c)
     names = [*FIELDS, *(f"last_{f}" for f in FIELDS), *(f"base_{f}" for f in FIELDS)]
     rows = totals.select("source_path", F.col("source_order").cast("long").alias("source_order"), F.col("ts").cast("long").alias("ts"), *(opt(c, "long") for c in names), opt("inherited", "boolean"), opt("replayed", "boolean"))
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, c = object(), Counter()
+    four = lambda x: tuple(v or 0 for v in x) if any(x) else None
+
+    def read(batches: Iterator[pa.RecordBatch], row: dict) -> Iterator[tuple]:
         for batch in batches:
-            out = []
-            for p, order, ts, *rest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                total, last, base = (None if all(v is None for v in x) else tuple(v or 0 for v in x) for x in (rest[:4], rest[4:8], rest[8:12]))
-                total, last = (x if x and any(x) else None for x in (total, last))
-                if p != path:
-                    path, c = p, Counter(base)
-                if rest[12]:
-                    if total:
-                        c.start_at(total)
-                    continue
-                took = c.add(total, last, bool(rest[13]))
+            for path, order, ts, *rest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                row |= {"key": (path, order, ts), "ground": None if all(v is None for v in rest[8:12]) else tuple(v or 0 for v in rest[8:12])}
+                yield path, (four(rest[:4]), four(rest[4:8]), bool(rest[13]), bool(rest[12]))
+
+    def bill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row: dict = {}  # the line that is being read
+        out: list[tuple] = []
+        kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["source_path", "source_order", "ts", *FIELDS, "mixed"])
+        for _, lines in groupby(read(batches, row), key=lambda x: x[0]):
+            first = next(lines)
+            for took, mixed in fold((x[1] for x in chain([first], lines)), row["ground"]):
                 if any(took):
-                    out.append((p, order, ts, *took, c.mixed))
-            kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["source_path", "source_order", "ts", *FIELDS, "mixed"])
+                    out.append((*row["key"], *took, mixed))
+                if len(out) == 10_000:
+                    yield batch_of()
+                    out.clear()
+        yield batch_of()
 
-    return rows.repartition("source_path").sortWithinPartitions("source_path", "source_order").mapInArrow(fold, SCHEMA)
+    return rows.repartition("source_path").sortWithinPartitions("source_path", "source_order").mapInArrow(bill, SCHEMA)
 
 
 def inherited(children: DataFrame, parents: DataFrame, values: list[str]) -> DataFrame:
