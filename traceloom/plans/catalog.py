@@ -12,6 +12,7 @@ from ..operators import activity, context, evaluate, fusion, inverted, reconcile
 from ..operators import records as rec
 from ..operators.records import Filter
 from ..streaming import counters
+from . import dialects
 from .views import BASE_MS, RECORDS_SQL, USAGE_SQL, records, table, usage_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -555,3 +556,9 @@ def excluded_paths(spark, sf_dir):
 @register("SELECT DISTINCT c_mktsegment, lower(trim(c_mktsegment)) AS key FROM customer")
 def project_keys(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_mktsegment", projects.project_key(F.col("c_mktsegment")).alias("key")).distinct()
+
+
+# --- dialects -------------------------------------------------------------------------------------------------------
+
+for _query, _text in dialects.REGISTERED.items():
+    register(_text)(_query)
