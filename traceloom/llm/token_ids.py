@@ -232,12 +232,15 @@ class Encoder:
         needed = np.zeros(len(distinct), bool)
         needed[code[~np.repeat(apart, np.diff(ends))]] = True
         used = [p for p, on in zip(distinct, needed.tolist(), strict=True) if on]
-        missing = {p for p in used if p not in self.young}.union(*(set(c) - self.young.keys() for c in own.values()))
+        raw = list(map(self.young.get, used))
+        unknown = [k for k, r in enumerate(raw) if r is None]
+        missing = {used[k] for k in unknown}.union(*(set(c) - self.young.keys() for c in own.values()))
         blank = [p for p in missing if p[-1].isspace()]
         last = dict(zip(blank, self._plain(blank), strict=True))
         self._meet([p for p in missing if p not in last])
         young = self.young
-        raw = [young[p] for p in used]
+        for k in unknown:
+            raw[k] = young[used[k]]
         flat = ids_of(b"".join(raw))
         size, first = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         size[needed] = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
