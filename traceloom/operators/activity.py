@@ -26,6 +26,13 @@ def density(buckets: DataFrame, levels: int) -> DataFrame:
     return buckets.withColumn("level", F.when((F.col("value") <= 0) | F.lit(most <= 0), 0).otherwise(F.ceil(F.col("value") * levels / F.lit(max(most, 1)))).cast("int"))
 
 
+def timeline_density(buckets: DataFrame, levels: int, value: str = "value") -> DataFrame:
+    """As density(), but one single hit is the lowest level, however many there are."""
+    most = buckets.agg(F.max(value)).first()[0] or 0
+    level = F.lit(1) if most == 1 else F.ceil(F.col(value) * levels / F.lit(max(most, 1)))
+    return buckets.withColumn("level", F.when((F.col(value) <= 0) | F.lit(levels <= 0), 0).otherwise(level).cast("int"))
+
+
 def stack(buckets: DataFrame, levels: int, group: str = "source") -> DataFrame:
     """Each group's rows of its bucket's level, in proportion, so that they add up to the level."""
     w = Window.partitionBy("bucket").orderBy(F.desc("value"), group).rowsBetween(Window.unboundedPreceding, 0)

@@ -72,6 +72,16 @@ def session_page(records: DataFrame, session_id: str, offset: int, limit: int, s
     return page.withColumns({k: v if k == "next_offset" else v.cast("long") for k, v in about.items()})
 
 
+#: Roles of tools' records, and of thoughts.
+TOOL_ROLES, THOUGHT_ROLES = ("tool_use", "tool_result"), ("reasoning",)
+
+
+def visible(records: DataFrame, show_tools: bool = False, show_reasoning: bool = False) -> DataFrame:
+    """What a preview shows: tools' records and thoughts only if they are wanted."""
+    hidden = (() if show_tools else TOOL_ROLES) + (() if show_reasoning else THOUGHT_ROLES)
+    return records.filter(~F.col("role").isin(*hidden)) if hidden else records
+
+
 def fields(df: DataFrame, names: list[str]) -> DataFrame:
     unknown = [n for n in names if n not in df.columns]
     if unknown:

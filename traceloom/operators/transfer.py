@@ -53,5 +53,48 @@ def stats(messages: DataFrame) -> DataFrame:
     )
 
 
+def tag_value(text: Column, tag: str) -> Column:
+    """What stands between the first <tag> and the next </tag>, in any case, with white space collapsed; empty without them."""
+    return F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?is)<{tag}>(.*?)</{tag}>", 1), r"(?U)\s+", " "))
+
+
+def _labelled(label: str, value: Column) -> Column:
+    return F.when(value == "", F.lit(label)).otherwise(F.concat(F.lit(label + " "), value))
+
+
+#: How a user's text begins that a tool has wrapped, with what it is told as, and the tag that is kept.
+WRAPPED = (("<task-notification>", "[Task notification]", "summary"), ("<local-command-stdout>", "[Local command stdout]", "local-command-stdout"), ("<local-command-caveat>", "[Local command caveat]", "local-command-caveat"))
+#: What stands for a wish to go on, and parts of an assistant's text that tell of an error.
+GO_ON = ("continue", "contiue")
+ERRORS = (("you've hit your org's monthly usage limit", "[Assistant error] Usage limit reached"), ("operation aborted", "[Assistant error] Operation aborted"))
+
+
+def compact_text(role: Column, text: Column) -> Column:
+    """Texts of users and assistants as they are told to another tool: wrapper tags and errors in short; null where
+    nothing is left. Texts of other roles stay."""
+    raw = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    low = F.lower(F.regexp_replace(raw, r"(?U)\s+", " "))
+    command, message = tag_value(raw, "command-name"), tag_value(raw, "command-message")
+    named = F.when(command == "", F.lit("[Local command]")).when(message == "", F.concat(F.lit("[Local command] "), command)).otherwise(F.concat(F.lit("[Local command] "), command, F.lit(": "), message))
+    user = F.when(low.isin(*GO_ON), "[User requested continuation]").when(low.startswith("<command-name>"), named)
+    for start, label, tag in WRAPPED:
+        user = user.when(low.startswith(start), _labelled(label, tag_value(raw, tag)))
+    assistant = None
+    for part, label in ERRORS:
+        assistant = F.when(low.contains(part), label) if assistant is None else assistant.when(low.contains(part), label)
+    return F.nullif(F.when(role == "user", user.otherwise(raw)).when(role == "assistant", assistant.otherwise(raw)).otherwise(text), F.lit(""))
+
+
+def title_of(text: Column, most: int = 120) -> Column:
+    """The first line, trimmed; of a longer one the first `most` characters and dots."""
+    first = F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), r"^([^\r\n]*)", 1))
+    return F.when(F.length(first) > most, F.concat(F.substring(first, 1, most), F.lit("..."))).otherwise(first)
+
+
+def argument_hash(arguments: Column) -> list[Column]:
+    """argument_sha256, argument_bytes of a tool call; null without arguments."""
+    return [F.sha2(arguments, 256).alias("argument_sha256"), F.octet_length(arguments).cast("long").alias("argument_bytes")]
+
+
 def tool_note(name: Column, text: Column) -> Column:
     return F.format_string("[%s] %s", name, text)

@@ -12,7 +12,7 @@ from ..operators import activity, context, evaluate, fusion, inverted, reconcile
 from ..operators import records as rec
 from ..operators.records import Filter
 from ..streaming import counters
-from . import dialects
+from . import dialects, stored
 from .views import BASE_MS, RECORDS_SQL, USAGE_SQL, records, table, usage_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,11 +160,14 @@ def sticky_metadata(spark, sf_dir):
     return context.fill_forward(r, "named", "sticky", ["source", "session_id"], ["turn_id", "doc_id"]).select("doc_id", "sticky")
 
 
-@register(f"WITH r AS ({RECORDS_SQL}) SELECT h.doc_id, h.session_id FROM r h WHERE h.role = 'user' AND h.source = 'codex' AND NOT EXISTS (SELECT 1 FROM r o WHERE o.source = 'codex' AND o.role = 'assistant' AND o.session_id = h.session_id)")
+@register(f"WITH r AS ({RECORDS_SQL}) SELECT h.session_id, h.role, trim(h.text) AS text, h.ts // 1000 * 1000 AS ts FROM r h WHERE h.role = 'user' AND h.source = 'codex' AND NOT EXISTS (SELECT 1 FROM r o WHERE o.source = 'codex' AND o.role = 'assistant' AND o.session_id = h.session_id)")
 def history_anti_join(spark, sf_dir):
+    from ..sources import codex
+
     r = records(spark, sf_dir).filter("source = 'codex'")
-    rolled = r.filter("role = 'assistant'").select("session_id").distinct()
-    return r.filter("role = 'user'").join(rolled, "session_id", "left_anti").select("doc_id", "session_id")
+    prompt = F.to_json(F.struct("session_id", "text", F.floor(F.col("ts") / 1000).alias("ts")))
+    prompts = r.filter("role = 'user'").select(prompt.alias("value"), F.lit("/home/kim/.codex/history.jsonl").alias("source_path"), F.col("doc_id").alias("line_no"))
+    return codex.history(prompts, r.filter("role = 'assistant'")).select("session_id", "role", "text", "ts")
 
 
 # --- retrieval ------------------------------------------------------------------------------------------------------
@@ -384,8 +387,7 @@ def usage_filter(spark, sf_dir):
 
 @register(f"WITH e AS ({USAGE_SQL}) SELECT session_id, round(sum(cache_read) / nullif(sum(uncached_input + cache_read + cache_write), 0), 9) AS hit_rate FROM e GROUP BY session_id HAVING sum(cache_read + cache_write) > 0")
 def cache_hit_rate(spark, sf_dir):
-    s = usage_events(spark, sf_dir).groupBy("session_id").agg(*(F.sum(c).alias(c) for c in ("uncached_input", "cache_read", "cache_write")))
-    return s.select("session_id", F.round(usage.hit_rate(), 9).alias("hit_rate")).filter("hit_rate is not null")
+    return usage.report(usage.with_cost(usage.priced(usage_events(spark, sf_dir))), "session_id").select("session_id", F.round(usage.hit_rate(), 9).alias("hit_rate")).filter("hit_rate is not null")
 
 
 @register(f"""WITH e AS ({USAGE_SQL}), b AS (SELECT *, CASE WHEN source = 'opencode' THEN '' ELSE source_path END AS thread, cache_chain_excluded OR conservative_undercount AS reset, uncached_input + cache_read + cache_write AS prompt FROM e WHERE NOT sidechain AND session_id IS NOT NULL),
@@ -540,9 +542,14 @@ def json_and_times(spark, sf_dir):
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), times.parse_user_ts(F.col("written")).alias("parsed_ms"), times.format_ts(ms).alias("shown"))
 
 
-@register("SELECT event_type AS kind, count(*) AS lines, count(*) FILTER (WHERE props IS NULL) AS empty FROM events GROUP BY event_type")
+@register("SELECT event_type || '.jsonl' AS source_path, count(*) AS lines, count(*) FILTER (WHERE props IS NULL) AS malformed, to_json(map([event_type], [count(*) FILTER (WHERE props IS NOT NULL)])) AS types, count(DISTINCT json_extract_string(props, '$.k')) AS versions FROM events GROUP BY event_type")
 def structure_audit(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("lines"), F.count_if(F.col("props").isNull()).alias("empty"))
+    from ..sources import lines
+
+    kind = F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('", '))
+    e = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit(".jsonl")).alias("source_path"), F.concat(kind, F.substring("props", 2, 1 << 30)).alias("value"))
+    found = lines.audit(e, version="$.k")
+    return found.select("source_path", "lines", "malformed", F.to_json("types").alias("types"), F.size("versions").cast("long").alias("versions"))
 
 
 @register(f"WITH e AS ({USAGE_SQL}) SELECT DISTINCT source_path, 'u' AS owner FROM e WHERE NOT regexp_matches(source_path, '^/u/1.*\\.jsonl$')")
@@ -558,7 +565,7 @@ def project_keys(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_mktsegment", projects.project_key(F.col("c_mktsegment")).alias("key")).distinct()
 
 
-# --- dialects -------------------------------------------------------------------------------------------------------
+# --- dialects and stored tables -------------------------------------------------------------------------------------------------------
 
-for _query, _text in dialects.REGISTERED.items():
+for _query, _text in (dialects.REGISTERED | stored.REGISTERED).items():
     register(_text)(_query)
