@@ -239,6 +239,31 @@ def test_project_names(spark):
     assert {r.s: (r.d, r.p) for r in got} == slugs
 
 
+def test_pairs_by_a_plain_reading():
+    def plain(m, least):
+        out, i = [], 0
+        while i < len(m):
+            n = 1
+            while i + 2 * n + 2 <= len(m) and m[i + 2 * n : i + 2 * n + 2] == m[i : i + 2]:
+                n += 1
+            out += [(*x, n) for x in m[i : i + 2]] if n >= least else [(*m[i], 1)]
+            i += 2 * n if n >= least else 1
+        return out
+
+    r = random.Random(5)
+    for _ in range(3000):
+        m = [(r.choice("uv"), r.choice("ab")) for _ in range(r.randrange(30))]
+        for least in (2, 3):
+            assert list(transfer.compact_pairs(m, least)) == plain(m, least)
+
+
+def test_sessions_are_compacted_apart(spark):
+    rows = [{"turn_id": i, "session_id": s, "role": "user" if i % 2 else "tool_use", "text": "ab"[i % 2]} for s in ("s", "t") for i in range(8)]
+    got = transfer.compact(record_rows(spark, rows)).orderBy("session_id", "at").collect()
+    assert [(x.session_id, x.at, x.text, x.times) for x in got] == [(s, k, t, 4) for s in ("s", "t") for k, t in ((0, "a"), (1, "b"))]
+    assert transfer.compact(record_rows(spark, rows).limit(0)).count() == 0
+
+
 def test_measures(spark):
     res = spark.createDataFrame([("q", 1, "a"), ("q", 2, "b"), ("q", 3, "b"), ("q", 4, "c")], "query_id string, rank int, item string")
     rel = spark.createDataFrame([("q", "b", 2.0), ("q", "c", 1.0), ("q", "x", 1.0), ("none", "y", 1.0)], "query_id string, item string, relevance double")
@@ -248,7 +273,7 @@ def test_measures(spark):
 
 
 def test_transfer_and_paging(spark):
-    assert transfer.compact_pairs([("u", "a"), ("t", "b")] * 3 + [("u", "c")]) == [("u", "a", 3), ("t", "b", 3), ("u", "c", 1)]
+    assert list(transfer.compact_pairs([("u", "a"), ("t", "b")] * 3 + [("u", "c")])) == [("u", "a", 3), ("t", "b", 3), ("u", "c", 1)]
     r = record_rows(spark, [{"turn_id": i, "role": "user" if i % 3 == 0 else "assistant", "text": "same" if i in (4, 5) else f"t{i}"} for i in range(10)])
     assert [x.turn_id for x in context.last_user_turns(r, 2).orderBy("turn_id").collect()] == [6, 7, 8, 9]
     assert transfer.drop_repeats(r).count() == 9

@@ -68,17 +68,18 @@ def fill_forward(rows: DataFrame, value: str, into: str, keys: list[str], order:
 def closure(edges: DataFrame, seeds: DataFrame, node: str = "record_id", identifier: str = "identifier") -> DataFrame:
     """record ids that share an identifier with a seed, directly or through others. edges: node, identifier.
 
-    Rounds of joins until no record is added, each written out, so that the plan stays that of one round.
+    Rounds of joins until no record is added. A round starts from the records and identifiers that the last one added,
+    and is written out, so that the plan stays that of one round.
     """
-    found = cut(seeds.select(node).distinct(), "closure")
-    count = found.count()
+    found = new = cut(seeds.select(node).distinct(), "closure")
+    used = None
     while True:
-        names = edges.join(found, node, "left_semi").select(identifier).distinct()
-        grown = cut(edges.join(names, identifier, "left_semi").select(node).union(found).distinct(), "closure")
-        now = grown.count()
-        if now == count:
-            return grown
-        found, count = grown, now
+        names = edges.join(new, node, "left_semi").select(identifier).distinct()
+        names = cut(names if used is None else names.join(used, identifier, "left_anti"), "identifiers")
+        new = cut(edges.join(names, identifier, "left_semi").select(node).distinct().join(found, node, "left_anti"), "closure")
+        if new.isEmpty():
+            return found
+        found, used = found.union(new), names if used is None else used.union(names)
 
 
 def identifiers(records: DataFrame, node: str = "doc_id") -> DataFrame:

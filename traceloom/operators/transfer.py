@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,31 +21,49 @@ def drop_repeats(messages: DataFrame, order: list = ("turn_id", "ts", "doc_id"))
     return numbered.filter((F.col("_at") == 1) | ~F.col("_same")).drop("_same", "_at")
 
 
-def compact_pairs(messages: list[tuple[str, str]], least: int = 3) -> list[tuple[str, str, int]]:
-    """(role, text, times): a pair of messages that comes `least` times in a row or more is told once."""
-    out, i = [], 0
-    while i < len(messages):
-        pair, n = messages[i : i + 2], 1
-        while len(pair) == 2 and messages[i + 2 * n : i + 2 * n + 2] == pair:
-            n += 1
-        if n >= least:
-            out += [(*m, n) for m in pair]
-            i += 2 * n
-        else:
-            out.append((*messages[i], 1))
-            i += 1
-    return out
+def compact_pairs(messages: Iterable[tuple[str, str]], least: int = 3) -> Iterator[tuple[str, str, int]]:
+    """(role, text, times): a pair of messages that comes `least` times in a row or more is told once. No more than
+    `least` pairs are held, however long a row of them is."""
+    left, held = iter(messages), deque()
 
+    def holds(n: int) -> bool:
+        held.extend(islice(left, n - len(held)) if len(held) < n else ())
+        return len(held) >= n
 
-def compact(messages: DataFrame) -> DataFrame:
-    """source, session_id, at, role, text, times: repeats dropped, then repeated pairs told once, by session."""
+    while holds(1):
+        if holds(2 * least) and all(held[k] == held[k % 2] for k in range(2, 2 * least)):
+            pair, times = (held[0], held[1]), 0
+            while holds(2) and (held[0], held[1]) == pair:
+                held.popleft(), held.popleft()
+                times += 1
+            yield from ((*m, times) for m in pair)
+        else:
+            yield (*held.popleft(), 1)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["turn_id", "ts", "doc_id"], kind="stable")
-        got = compact_pairs(list(zip(rows.role, rows.text, strict=True)))
-        return pd.DataFrame({"source": rows.source.iloc[0], "session_id": rows.session_id.iloc[0], "at": range(len(got)), "role": [m[0] for m in got], "text": [m[1] for m in got], "times": [m[2] for m in got]})
 
-    return drop_repeats(messages).select(*KEYS, "turn_id", "ts", "doc_id", "role", "text").groupBy(*KEYS).applyInPandas(fold, "source string, session_id string, at long, role string, text string, times long")
+def compact(messages: DataFrame) -> DataFrame:
+    """source, session_id, at, role, text, times: repeats dropped, then repeated pairs told once, by session. Spark sorts
+    the messages; a task reads them one by one and holds a few."""
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, out, size = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()], [], 0
+        make = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["source", "session_id", "at", "role", "text", "times"])
+        for key, own in groupby(rows_of(batches), key=lambda r: r[:2]):
+            for at, told in enumerate(compact_pairs(r[2:] for r in own)):
+                out.append((*key, at, *told))
+                size += len(told[1] or "")
+                if size > 1 << 22:
+                    yield make()
+                    out, size = [], 0
+        yield make()
+
+    order = ["turn_id", "ts", "doc_id"]
+    kept = drop_repeats(messages).select(*KEYS, "role", "text", *order).repartition(*KEYS).sortWithinPartitions(*KEYS, *order)
+    return kept.select(*KEYS, "role", "text").mapInArrow(fold, "source string, session_id string, at long, role string, text string, times long")
 
 
 def stats(messages: DataFrame) -> DataFrame:

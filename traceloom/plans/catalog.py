@@ -321,7 +321,19 @@ def consecutive_dedupe(spark, sf_dir):
     return transfer.drop_repeats(records(spark, sf_dir)).select("doc_id")
 
 
-@register()
+#: Without repeats, a message's pair with the next one is told n times in a row; where n is 3 or more, 2 * n messages are one pair.
+COMPACTED_SQL = f"""WITH RECURSIVE r AS ({RECORDS_SQL}),
+k AS (SELECT source, session_id, role, text, row_number() OVER w AS i FROM (SELECT *, lag(role) OVER w AS b_role, lag(text) OVER w AS b_text, row_number() OVER w AS n FROM r WINDOW w AS (PARTITION BY source, session_id ORDER BY turn_id, ts, doc_id))
+      WHERE n = 1 OR NOT (b_role IS NOT DISTINCT FROM role AND b_text IS NOT DISTINCT FROM text) WINDOW w AS (PARTITION BY source, session_id ORDER BY n)),
+e AS (SELECT *, coalesce(struct_pack(a := role, b := text) = struct_pack(a := lead(role, 2) OVER w, b := lead(text, 2) OVER w) AND struct_pack(a := lead(role) OVER w, b := lead(text) OVER w) = struct_pack(a := lead(role, 3) OVER w, b := lead(text, 3) OVER w) AND lead(i, 3) OVER w IS NOT NULL, false) AS again FROM k WINDOW w AS (PARTITION BY source, session_id ORDER BY i)),
+n AS (SELECT *, 1 + (min(CASE WHEN NOT again THEN i END) OVER (PARTITION BY source, session_id, i % 2 ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - i) // 2 AS times FROM e),
+s AS (SELECT *, CASE WHEN times >= 3 THEN 2 * times ELSE 1 END AS step FROM n),
+p AS (SELECT source, session_id, i, step, times FROM s WHERE i = 1 UNION ALL SELECT s.source, s.session_id, s.i, s.step, s.times FROM p JOIN s ON s.source = p.source AND s.session_id = p.session_id AND s.i = p.i + p.step),
+t AS (SELECT source, session_id, i, CASE WHEN step > 1 THEN times ELSE 1 END AS times FROM p UNION ALL SELECT source, session_id, i + 1, times FROM p WHERE step > 1)
+SELECT t.source, t.session_id, row_number() OVER (PARTITION BY t.source, t.session_id ORDER BY t.i) - 1 AS "at", k.role, k.text, t.times FROM t JOIN k ON k.source = t.source AND k.session_id = t.session_id AND k.i = t.i"""
+
+
+@register(COMPACTED_SQL)
 def compacted_transcripts(spark, sf_dir):
     return transfer.compact(records(spark, sf_dir))
 
@@ -338,7 +350,13 @@ def interaction_closure(spark, sf_dir):
     return context.closure(edges, r.filter("doc_id = 1000"), "doc_id")
 
 
-@register()
+def _framed_sql(*values: str) -> str:
+    """Each value's length in eight bytes, the lowest first, and its bytes, in hexadecimal digits."""
+    return " || ".join(f"printf('%02x%02x000000000000', octet_length(encode({v})) % 256, octet_length(encode({v})) // 256) || lower(hex(encode({v})))" for v in values)
+
+
+@register(f"""WITH r AS ({RECORDS_SQL})
+SELECT doc_id, 'rid1_' || sha256(unhex({_framed_sql("'version'", "'rid1'", "'source'", "source")} || CASE WHEN turn_id % 2 = 0 THEN {_framed_sql("'session'", "session_id", "'event'", "'e' || doc_id")} ELSE {_framed_sql("'session'", "session_id", "'source-path'", "source_path", "'turn'", "CAST(turn_id AS VARCHAR)")} END || {_framed_sql("'role'", "role", "'tool'", "''")})) AS record_id FROM r""")
 def canonical_ids(spark, sf_dir):
     r = records(spark, sf_dir).withColumns({"event_id": F.when(F.col("turn_id") % 2 == 0, F.concat(F.lit("e"), F.col("doc_id").cast("string"))), "source_tool_use_id": F.lit(None).cast("string"), "tool_name": F.lit(None).cast("string")})
     return r.select("doc_id", ids.canonical_record_id().alias("record_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import RECORDS, columns
+from ..scratch import cut
 
 EMISSION = ("role", "text", "tool_name", "tool_input", "tool_output", "event_id", "parent_event_id", "parent_tool_use_id")
 NONE = "array<struct<" + ", ".join(f"{c}: string" for c in EMISSION) + ">>"
@@ -53,9 +54,11 @@ def records(df: DataFrame, source: str) -> DataFrame:
 
 
 def with_doc_ids(records: DataFrame, first: int = 0) -> DataFrame:
-    """doc_id: dense within a file, files in order of their path. Only one count a file is gathered in one place."""
+    """doc_id: dense within a file, files in order of their path. Counts are dealt in ranges of the path and added up in
+    each; only one sum a range is gathered in one place."""
     sizes = records.groupBy("source_path").agg(F.count("*").alias("_n"))
-    base = sizes.select("source_path", (F.sum("_n").over(Window.orderBy("source_path").rowsBetween(Window.unboundedPreceding, -1))).alias("_base"))
-    return records.join(base, "source_path").withColumn("doc_id", F.coalesce("_base", F.lit(0)) + F.col("turn_id") + first).drop("_base").select(*columns(RECORDS))
-
-
+    ranged = cut(sizes.repartitionByRange("source_path").withColumn("_part", F.spark_partition_id()), "sizes")
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy("_part").agg(F.sum("_n").alias("_n")).select("_part", before(Window.orderBy("_part")).alias("_start"))
+    base = ranged.withColumn("_base", before(Window.partitionBy("_part").orderBy("source_path"))).join(F.broadcast(parts), "_part").select("source_path", (F.col("_start") + F.col("_base")).alias("_base"))  # a row a task
+    return records.join(base, "source_path").withColumn("doc_id", F.col("_base") + F.col("turn_id") + first).drop("_base").select(*columns(RECORDS))
