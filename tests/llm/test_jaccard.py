@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from traceloom.llm import jaccard as j
 
@@ -73,3 +75,27 @@ def test_an_id_on_two_texts_keeps_both_components(spark):
     got = sorted(map(tuple, j.keep_one(docs).collect()), key=str)
     assert got[:2] == [(1, "a b c d"), (1, "p q r s")] and len(got) == 3 and got[2][0] is None
     assert j.keep_one(docs.limit(0)).count() == 0
+
+
+def test_sketches_differ_in_no_more_shares_than_sets_in_shingles(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for n, m, shared in ((50, 60, 40), (2040, 2060, 2000), (4090, 4100, 4000), (5000, 5200, 4900), (9000, 9000, 9000), (3000, 3000, 0)):
+        x = np.unique(r.integers(0, 2**63, 3 * n + m, dtype=np.uint64))
+        r.shuffle(x)
+        a, b = np.sort(x[:n]), np.sort(np.concatenate([x[:shared], x[n : n + m - shared]]))
+        rows.append((j.sketch(a).tolist(), j.sketch(b).tolist(), n + m - 2 * shared))
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>, d int").select(j.differing(F.col("a"), F.col("b")), "d", F.size("a"), F.size("b")).collect()
+    assert all(0.7 * d <= x <= d for x, d, *_ in got[:5]) and got[5][0] > 1000
+    assert [x[2:] for x in got[:4]] == [(32, 32), (32, 64), (64, 128), (128, 128)]
+
+
+def test_a_group_is_linked_by_few_comparisons(spark, monkeypatch):
+    compared = []
+    plain = j.near_pairs
+    monkeypatch.setattr(j, "near_pairs", lambda pairs, sets: (compared.append(pairs.count()), plain(pairs, sets))[1])
+    r = random.Random(2)
+    base = ["w%d" % r.randrange(10**6) for _ in range(120)]
+    out = [" ".join(base[:k] + ["x%d" % k] + base[k + 1 :]) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    assert [x.doc_id for x in j.keep_one(docs).collect()] == [0] and sum(compared) < 100

@@ -17,7 +17,8 @@ def test_marginals_meet_their_targets_as_a_plain_fit_does(spark):
     cells = seen.groupBy(*(seen[f"f_{d}"].alias(d) for d in m.DIMENSIONS)).agg({"f_tokens": "sum"}).withColumnRenamed("sum(f_tokens)", "tokens")
     goal = {"source": {"a": 0.2, "b": 0.3, "c": 0.5}, "lang": {"en": 0.6, "fr": 0.4}}
     targets = {d: spark.createDataFrame(list(g.items()), "level string, share double") for d, g in goal.items()}
-    got = m.rake(cells, targets).toPandas()
+    little = m.Mix(fraction=0.02)  # so little is drawn that no bound is met
+    got = m.rake(cells, targets, little).toPandas()
     w = {tuple(x): t for *x, t in cells.select(*m.DIMENSIONS, "tokens").collect()}
     total = sum(w.values())
     tops = {}
@@ -34,8 +35,74 @@ def test_marginals_meet_their_targets_as_a_plain_fit_does(spark):
             w = {k: x * goal[d][k[j]] / now[k[j]] for k, x in w.items()}
     for r in got.itertuples():
         assert abs(r.weight - w[(r.source, r.lang, r.topic)]) < 0.01
-    p = m.calibrate(m.rake(cells, targets), 0.5).toPandas()
-    assert abs((p.share * p.probability).sum() - 0.5) < 1e-3 and p.probability.max() <= 1
+    for part in (0.02, 0.9):
+        p = m.calibrate(m.rake(cells, targets, m.Mix(fraction=part)), part).toPandas()
+        assert abs((p.share * p.probability).sum() - part) < 1e-3 and p.probability.max() <= 1
+
+
+def plain_plan(rows, mix):
+    """Weights by bounded raking of plain dictionaries, and the goals."""
+    cells = {}
+    for key, n in rows:
+        cells[key] = cells.get(key, 0) + n
+    total = sum(cells.values())
+    share = {k: n / total for k, n in cells.items()}
+    bound = {k: x / mix.fraction for k, x in share.items()}
+    goals = []
+    for j in range(3):
+        mass, most = {}, {}
+        for k, x in share.items():
+            mass[k[j]], most[k[j]] = mass.get(k[j], 0) + x, most.get(k[j], 0) + bound[k]
+        z = sum(x**mix.alpha for x in mass.values())
+        t = {k: x**mix.alpha / z for k, x in mass.items()}
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            s = (low + high) / 2
+            low, high = (low, s) if sum(min(most[k], s * t[k]) for k in t) >= 1 else (s, high)
+        goals.append({k: min(most[k], high * t[k]) for k in t})
+    w = dict(share)
+    for _ in range(3000):
+        for j in range(3):
+            for level, goal in goals[j].items():
+                mine = [k for k in w if k[j] == level]
+                for _ in range(60):  # until the level has its goal or is full
+                    free = [k for k in mine if w[k] < bound[k] * (1 - 1e-12)]
+                    now, fixed = sum(w[k] for k in mine), sum(w[k] for k in mine if k not in free)
+                    if goal <= now:
+                        w.update({k: w[k] * goal / now for k in mine})
+                        break
+                    if not free:
+                        break
+                    f = (goal - fixed) / sum(w[k] for k in free)
+                    w.update({k: min(bound[k], w[k] * f) for k in free})
+    return share, w, goals
+
+
+def test_every_row_as_a_plain_fit_under_bounds_says(spark):
+    """Small levels can't have their targets: goals are cut, probabilities stay at or below 1, and what is drawn meets
+    the goals."""
+    r = random.Random(6)
+    rows = [(i, "w " * r.randrange(1, 1500), r.choice(["a"] * 12 + ["b"] * 3 + ["c"]), r.choice(["en"] * 9 + ["fr"] * 2 + ["de"])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    seen = m.features(docs, docs.text, docs.source, docs.lang, None, docs.doc_id).drop("text").cache()
+    mix = m.Mix(tolerance=5e-4)
+    got = {(x.f_source, x.f_lang, x.f_topic): x for x in m.plan(seen, mix=mix).collect()}
+    flat = [((x.f_source, x.f_lang, x.f_topic), x.f_tokens) for x in seen.collect()]
+    share, w, goals = plain_plan(flat, mix)
+    assert any(abs(sum(w[k] for k in w if k[j] == lv) - share_of(share, j, lv)) > 0.001 for j in range(3) for lv in goals[j])
+    for k, x in got.items():
+        p = min(1.0, mix.fraction * w[k] / share[k])
+        assert abs(x.f_weight - w[k] / share[k]) < 0.01 * max(1, w[k] / share[k]) and abs(x.f_probability - p) < 0.01
+    kept = {x.doc_id for x in m.sample_documents(docs, mix=mix).collect()}
+    draws = {x.doc_id: (x.f_draw, (x.f_source, x.f_lang, x.f_topic)) for x in seen.collect()}
+    assert kept == {i for i, (d, k) in draws.items() if d < got[k].f_probability}
+    cells = seen.groupBy(*(seen[f"f_{d}"].alias(d) for d in m.DIMENSIONS)).agg({"f_tokens": "sum"}).withColumnRenamed("sum(f_tokens)", "tokens")
+    told = m.gaps(m.rake(cells, mix=mix)).collect()
+    assert all(abs(x.share / x.goal - 1) < 1e-3 for x in told) and any(x.goal < 0.9 * x.target for x in told)
+
+
+def share_of(share, j, level):
+    return sum(x for k, x in share.items() if k[j] == level)
 
 
 def test_draw_is_stable_and_near_the_fraction(spark):

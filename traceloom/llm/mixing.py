@@ -1,17 +1,24 @@
 """Mixing to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Tokens are summed by cell (source, language, topic). Cell weights start at the cells' share of tokens and are raked: in
-turn, they are scaled so that each source, each language and each topic gets its target share, until all three hold.
-A document is then kept with probability min(1, s * weight / share of its cell), with s set so that the expected tokens
-are the wanted fraction; the draw is a hash of seed, id and text, the same in every run.
+turn, they are scaled so that each source, each language and each topic gets its goal, until all three hold. A document
+is then kept with probability fraction * weight / share of its cell; the draw is a hash of seed, id and text, the same
+in every run.
+
+A probability can't pass 1, so no cell's weight passes share / fraction: a cell that comes to this bound stays there,
+and the others of its level are scaled up instead. Nor can a level's: a target beyond it is cut to it, and the other
+levels share the rest in proportion (`goal`). What is drawn thus has the goals' shares, not only what would be drawn
+without bounds. `gaps` tells, by level, the target, the goal and the share that came of it; they differ where tokens are
+lacking.
 
 Targets are tables (level, share). Where none is given, a level's target is its share of tokens to the power `alpha`,
 scaled to sum to one: below 1 this lifts small levels. A column named topic is used if there is one; otherwise the
 topic is the form of the text (`form`).
 
 Defined results: null source, language or topic is the level ''; null text has no tokens; a level without a target, or
-with tokens 0, has weight 0 and is never kept; levels of a target that no document has are ignored; an empty table
-gives no rows; repeated rows get the same draw.
+with tokens 0, has weight 0 and is never kept; levels of a target that no document has are ignored; where the levels
+with targets have less than the fraction, all of theirs is kept; an empty table gives no rows; repeated rows get the same
+draw; texts of any length are counted whole; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +37,8 @@ DIMENSIONS = ("source", "lang", "topic")
 class Mix:
     alpha: float = 0.7
     fraction: float = 0.8  # of tokens to keep
-    rounds: int = 25
-    tolerance: float = 0.002  # of a marginal, relative
+    tolerance: float = 0.005  # of a goal, relative
+    patience: int = 6  # rounds without progress after which goals that can't be met together are left
     seed: int = 17
 
 
@@ -58,45 +65,78 @@ def features(docs: DataFrame, text: Column, source: Column, lang: Column, topic:
     })
 
 
+def filled(levels: DataFrame) -> dict[str, float]:
+    """levels: dimension, t (target), most. For each dimension the s for which the sum of least(most, s * t) is 1, nearly.
+    Each pass tries 64 of them for all dimensions at once."""
+    steps = {d: [0.0, *(2.0 ** (k / 2) for k in range(-6, 57))] for d in DIMENSIONS}
+    for _ in range(4):
+        s_of = lambda k: F.element_at(F.create_map(*(x for d in DIMENSIONS for x in (F.lit(d), F.lit(steps[d][k])))), F.col("dimension"))  # noqa: B023, E731
+        sums = levels.groupBy("dimension").agg(*(F.sum(F.least("most", s_of(k) * F.col("t"))).alias(f"k{k}") for k in range(64))).collect()  # three rows
+        high = {}
+        for r in sums:
+            at = next((k for k in range(64) if (r[f"k{k}"] or 0.0) >= 1 - 1e-9), 63)
+            low, high[r.dimension] = steps[r.dimension][max(at - 1, 0)], steps[r.dimension][at]
+            steps[r.dimension] = [low + (high[r.dimension] - low) * k / 63 for k in range(64)]
+    return high
+
+
+def gaps(raked: DataFrame) -> DataFrame:
+    """dimension, level, target, goal, share (of what is drawn) of all levels."""
+    each = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("level"), F.col(f"target_{d}").alias("target"), F.col(f"goal_{d}").alias("goal")) for d in DIMENSIONS))
+    rows = raked.select("weight", F.explode(each).alias("x")).groupBy("x.dimension", "x.level").agg(F.max("x.target").alias("target"), F.max("x.goal").alias("goal"), F.sum("weight").alias("share"))
+    return rows
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, mix: Mix = Mix()) -> DataFrame:
-    """cells: source, lang, topic, tokens. Returns them with weight (sums to 1) and share (of tokens)."""
+    """cells: source, lang, topic, tokens. Returns them with share (of tokens), weight (sums to 1 where the goals can be
+    met together), bound, and the target and the goal of each dimension."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    w = cells.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1)))).withColumn("weight", F.col("share"))
+    w = cells.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1))))
+    wanted = F.lit(True)
     for d in DIMENSIONS:
         given = (targets or {}).get(d)
         if given is None:
             level = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(mix.alpha)).alias("g"))
         else:
-            level = given.select(F.col("level").alias(d), F.col("share").cast("double").alias("g")).join(cells.select(d).distinct(), d, "left_semi")
+            level = given.select(F.col("level").alias(d), F.col("share").cast("double").alias("g")).join(w.filter("share > 0").select(d).distinct(), d, "left_semi")
         whole = level.agg(F.sum("g")).first()[0] or 1.0
-        w = w.join(level.select(d, (F.col("g") / whole).alias(f"goal_{d}")), d, "left").withColumn(f"goal_{d}", F.coalesce(f"goal_{d}", F.lit(0.0)))
-    for _ in range(mix.rounds):
+        w = w.join(level.select(d, (F.col("g") / whole).alias(f"target_{d}")), d, "left").withColumn(f"target_{d}", F.coalesce(f"target_{d}", F.lit(0.0)))
+        wanted &= F.col(f"target_{d}") > 0
+    w = cut(w.withColumn("weight", F.when(wanted, F.col("share")).otherwise(0.0)), "rake")
+    reach = w.agg(F.sum("weight")).first()[0] or 0.0
+    fraction = min(mix.fraction, reach)
+    if not fraction:
+        return w.withColumns({"bound": F.lit(0.0), **{f"goal_{d}": F.lit(0.0) for d in DIMENSIONS}})
+    w = cut(w.withColumn("bound", F.col("weight") / fraction).withColumn("weight", F.col("weight") / reach), "rake")
+    each = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("level"), F.col(f"target_{d}").alias("t")) for d in DIMENSIONS))
+    levels = cut(w.select("bound", F.explode(each).alias("x")).groupBy("x.dimension", "x.level").agg(F.max("x.t").alias("t"), F.sum("bound").alias("most")), "levels")
+    s = filled(levels)
+    for d in DIMENSIONS:
+        w = w.join(levels.filter(F.col("dimension") == d).select(F.col("level").alias(d), F.least("most", F.lit(s[d]) * F.col("t")).alias(f"goal_{d}")), d)
+    w, best, since = cut(w, "rake"), float("inf"), 0
+    while True:
+        off = gaps(w).agg(F.max(F.when(F.col("goal") > 1e-12, F.abs(F.col("share") / F.nullif(F.col("goal"), F.lit(0.0)) - 1)))).first()[0] or 0.0
+        if off <= mix.tolerance:
+            return w
+        best, since = (off, 0) if off < 0.9 * best else (best, since + 1)
+        if since >= mix.patience:
+            return w  # gaps() tells which goals are not met
         for d in DIMENSIONS:
-            now = w.groupBy(d).agg(F.sum("weight").alias("now"))
-            w = w.join(now, d).withColumn("weight", F.when(F.col("now") > 0, F.col("weight") * F.col(f"goal_{d}") / F.nullif(F.col("now"), F.lit(0.0))).otherwise(0.0)).drop("now")
+            full = F.col("weight") >= F.col("bound") * (1 - 1e-9)
+            now = w.groupBy(d).agg(F.sum("weight").alias("now"), F.sum(F.when(full, F.col("weight")).otherwise(0.0)).alias("full"))
+            down = F.col("weight") * F.col(f"goal_{d}") / F.nullif(F.col("now"), F.lit(0.0))
+            up = F.col("weight") * (F.col(f"goal_{d}") - F.col("full")) / F.nullif(F.col("now") - F.col("full"), F.lit(0.0))
+            new = F.when(F.col(f"goal_{d}") <= F.col("now"), down).when(full, F.col("weight")).otherwise(F.least(up, F.col("bound")))
+            w = w.join(now, d).withColumn("weight", F.coalesce(new, F.lit(0.0))).drop("now", "full")
         w = cut(w, "rake")
-        off = [w.groupBy(d).agg(F.sum("weight").alias("now"), F.max(f"goal_{d}").alias("goal")).agg(F.max(F.when(F.col("goal") > 0, F.abs(F.col("now") / F.nullif(F.col("goal"), F.lit(0.0)) - 1)))).first()[0] or 0.0 for d in DIMENSIONS[:2]]
-        if max(off) <= mix.tolerance:
-            break
-    return w
 
 
 def calibrate(raked: DataFrame, fraction: float) -> DataFrame:
-    """raked with probability: min(1, s * weight / share), for the s at which `fraction` of the tokens is expected.
-    s is narrowed by a factor of 32 in each of a few passes over the cells."""
+    """raked with probability, so that `fraction` of the tokens is expected, or all of those that have a weight."""
     ratio = F.when(F.col("share") > 0, F.col("weight") / F.nullif(F.col("share"), F.lit(0.0))).otherwise(0.0)
-    kept = lambda s: F.sum(F.col("share") * F.least(F.lit(1.0), s * ratio))
-    low, high = 0.0, 1.0
-    reach = raked.agg(F.sum(F.when(F.col("weight") > 0, F.col("share")))).first()[0] or 0.0
-    wanted = min(fraction, reach * (1 - 1e-9))
-    while wanted > 0 and (raked.agg(kept(high)).first()[0] or 0.0) < wanted and high < 1e12:
-        low, high = high, high * 32
-    for _ in range(7):
-        steps = [low + (high - low) * k / 32 for k in range(33)]
-        got = list(raked.agg(*(F.coalesce(kept(s), F.lit(0.0)).alias(f"k{k}") for k, s in enumerate(steps))).first())
-        at = next((k for k, g in enumerate(got) if g >= wanted), 32)
-        low, high = steps[max(at - 1, 0)], steps[at]
-    return raked.withColumn("probability", F.least(F.lit(1.0), high * ratio))
+    reach, total = raked.agg(F.sum(F.when(F.col("weight") > 0, F.col("share"))), F.sum("weight")).first()
+    s = min(fraction, reach or 0.0) / (total or 1.0)  # weights sum to less than 1 where goals can't be met together
+    return raked.withColumn("probability", F.least(F.lit(1.0), F.lit(s) * ratio))
 
 
 def plan(narrow: DataFrame, targets: dict[str, DataFrame] | None = None, mix: Mix = Mix()) -> DataFrame:
