@@ -30,6 +30,30 @@ def test_pairs_that_tell_nothing_alone():
     assert np.mean((m.score([x.hashed(t) for t in texts[1200:]]) > 0.5) == np.array(y[1200:])) > 0.97
 
 
+def test_a_rare_word_counts_in_a_pair(monkeypatch):
+    """As above, but one of the words is in 4 of 100 texts."""
+    monkeypatch.setattr(x, "ROWS", 700)
+    monkeypatch.setattr(x, "BLOCK", 50)
+    r = random.Random(1)
+    texts, y, rare = [], [], []
+    for _ in range(5000):
+        a, b = r.random() < 0.5, r.random() < 0.04
+        texts.append(" ".join(["insult"] * a + ["group"] * b + [f"w{r.randrange(300)}" for _ in range(20)]))
+        y.append(float(a != b))
+        rare.append(b)
+    m = x.learn([x.hashed(t) for t in texts[:4000]], np.array(y[:4000]))
+    right = (m.score([x.hashed(t) for t in texts[4000:]]) > 0.5) == np.array(y[4000:])
+    assert right[np.array(rare[4000:])].mean() >= 0.95 and right.mean() > 0.97
+
+
+def test_a_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 9}") for k in range(50)] + [(2, "b"), (2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, toxic int")
+    got = x.sample(docs, labels, "doc_id", "text", "toxic", 10)
+    assert sorted((r.doc_id, r.y) for r in got.collect()) == [(1, 1.0), (2, 1.0), (3, 0.0)]
+    assert x.sample(docs, labels, "doc_id", "text", "toxic", 2).count() <= 2
+
+
 def test_scores_equal_a_sum_over_pairs():
     r = np.random.default_rng(3)
     m = x.Machine(0.3, np.sort(r.choice(1000, 60, replace=False)).astype(np.int32), r.normal(size=60), r.normal(size=(60, 3)) / 3)
@@ -89,16 +113,17 @@ def test_lines_of_one_text_differ():
     text = lambda kinds: "\n".join(line("***" if k == "b" else "") for k in kinds)
     kinds = [r.choice(["gggggg", "gggggg", "bbbbbb", "gggbbb", "bbbggg"]) for _ in range(400)]
     f = q.learn(*q.measures([text(k) for k in kinds]), np.array([float("b" not in k) for k in kinds]))
-    x, lengths, count = q.measures([text("ggggbbbb"), text("bbbbgggg")])
+    one, two = text("ggggbbbb"), text("bbbbgggg")
+    x, lengths, count = q.measures([one, two])
     good = q.marginals(q.features(x, count) @ f.theta, f.move, count)[0].reshape(2, 8)
     assert good[0, :3].min() > 0.8 and good[0, 5:].max() < 0.2 and good[1, 5:].min() > 0.8 and good[1, :3].max() < 0.2
     s = q.quality([text("gggggg"), text("bbbbbb"), text("gggbbb")], f)
     assert s[0] > 0.9 and s[1] < 0.1 and s[2] < 0.3
     # a document's score is the curve at the length-weighted mean of its lines
     by_hand = (good[0] * lengths[:8]).sum() / lengths[:8].sum()
-    z = f.slope * np.log(by_hand / (1 - by_hand)) + f.level
     assert np.isclose(q.aggregate(good.ravel(), lengths, count)[0], by_hand)
-    assert 0 < 1 / (1 + np.exp(-z)) < 1
+    z = f.slope * np.log(by_hand / (1 - by_hand)) + f.level
+    assert np.isclose(q.quality([one], f)[0], 1 / (1 + np.exp(-z)))
 
 
 def test_quality_learns_lines_and_meets_edges(spark):

@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str
             own = pa.ListArray.from_arrays(pa.array(OWN * ends), pa.array(x.ravel(), pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(1), own, pa.ListArray.from_arrays(pa.array(ends), pa.array(lengths, pa.int32()))], ["y", "own", "lengths"])
 
-    picked = sample(docs.select(doc_id, text), labels, doc_id, label, fit.rows).select(text, "y")
+    picked = sample(docs.select(doc_id, text), labels, doc_id, text, label, fit.rows).select(text, "y")
     got = picked.mapInArrow(measure_batches, "y double, own array<float>, lengths array<int>").toArrow().combine_chunks()  # fit.rows rows at most
     flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy().astype(np.float64)
     count = np.array([len(x) for x in got.column("lengths")], dtype=np.int64)

@@ -22,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_crc, table
 from .decontaminate import words_of
 
 BITS = 20
+ROWS, BLOCK = 500, 256  # of the matrices of pairs
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ class Fit:
     least: int = 4  # rows with a term
     alone: float = 2.5  # standard deviations by which a term tells the classes apart
     together: float = 5.0  # and by which a pair does beyond its two terms
-    paired: float = 0.05  # share of the rows that a term is in, to be looked at in pairs
+    paired: float = 0.01  # share of the rows that a term is in, to be looked at in pairs
     factors: int = 4
     steps: int = 400
     rate: float = 0.05
@@ -75,7 +76,8 @@ def hashed(text: str | None) -> np.ndarray:
 
 def telling_pairs(row: np.ndarray, term: np.ndarray, labels: np.ndarray, share: float, fit: Fit) -> np.ndarray:
     """Terms that tell the classes apart with another one: the share of toxic rows among those with both lies far from
-    what the two shares add up to. Of terms in `paired` of the rows; numbers of rows are products of 0-1 matrices."""
+    what the two shares add up to. Of terms in `paired` of the rows; numbers of rows are products of 0-1 matrices, made
+    for `BLOCK` terms against all at a time."""
     n = len(labels)
     often = np.flatnonzero(np.bincount(term, minlength=1 << BITS) >= max(fit.paired * n, fit.least)).astype(np.int32)
     if len(often) < 2:
@@ -85,19 +87,25 @@ def telling_pairs(row: np.ndarray, term: np.ndarray, labels: np.ndarray, share:
     row, at = row[on], at[on]
     seen = np.bincount(at, minlength=len(often))
     rate = (np.bincount(at, weights=labels[row], minlength=len(often)) / seen).astype(np.float32)
-    both, toxic = np.zeros((len(often), len(often)), np.float32), np.zeros((len(often), len(often)), np.float32)
-    for a in range(0, n, 2000):
-        part = (row >= a) & (row < a + 2000)
-        x = np.zeros((2000, len(often)), np.float32)
-        x[row[part] - a, at[part]] = 1
-        y = np.zeros(2000, np.float32)
-        y[: len(labels[a : a + 2000])] = labels[a : a + 2000]
-        both += x.T @ x
-        toxic += (x * y[:, None]).T @ x
-    wanted = np.clip(rate[:, None] + rate[None, :] - np.float32(share), 0, 1)
-    z = np.where(both >= fit.least, np.abs(toxic - wanted * both) / np.sqrt(share * (1 - share) * np.maximum(both, 1)), 0)
-    np.fill_diagonal(z, 0)
-    return often[(z > fit.together).any(1)]
+    found = np.zeros(len(often), bool)
+    starts = np.searchsorted(row, np.arange(0, n + ROWS, ROWS))
+    for b in range(0, len(often), BLOCK):
+        block = slice(b, b + BLOCK)
+        both = toxic = np.float32(0)
+        for k, (i, j) in enumerate(zip(starts, starts[1:], strict=False)):
+            x = np.zeros((ROWS, len(often) - b), np.float32)  # pairs with terms before the block were looked at there
+            later = at[i:j] >= b
+            x[row[i:j][later] - k * ROWS, at[i:j][later] - b] = 1
+            y = np.zeros(ROWS, np.float32)
+            y[: len(labels[k * ROWS : (k + 1) * ROWS])] = labels[k * ROWS : (k + 1) * ROWS]
+            own = x[:, :BLOCK].T
+            both, toxic = both + own @ x, toxic + (own * y) @ x
+        wanted = np.clip(rate[block, None] + rate[None, b:] - np.float32(share), 0, 1)
+        z = np.where(both >= fit.least, np.abs(toxic - wanted * both) / np.sqrt(share * (1 - share) * np.maximum(both, 1)), 0)
+        np.fill_diagonal(z, 0)
+        found[block] |= (z > fit.together).any(1)
+        found[b:] |= (z > fit.together).any(0)
+    return often[found]
 
 
 def learn(found: list[np.ndarray], labels: np.ndarray, fit: Fit = Fit()) -> Machine:
@@ -136,11 +144,12 @@ def learn(found: list[np.ndarray], labels: np.ndarray, fit: Fit = Fit()) -> Mach
     return Machine(float(p[0]), terms, p[1 : m + 1], p[m + 1 :].reshape(m, k))
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, rows: int) -> DataFrame:
-    """docs of at most `rows` labelled ids, those with the smallest hash; with the label as y."""
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int) -> DataFrame:
+    """docs of at most `rows` labelled ids, those with the smallest hash, one row an id; with the label as y."""
     chosen = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(doc_id), doc_id).limit(rows)
-    return docs.join(F.broadcast(chosen), doc_id)  # `rows` rows at most
+    one = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text), text))  # of an id on several texts
+    return docs.join(F.broadcast(chosen), doc_id).withColumn("_one", one).filter("_one = 1").drop("_one")  # `rows` rows at most
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, fit: Fit = Fit()) -> Machine:
@@ -148,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([hashed(t.as_py()) for t in batch.column(0)], pa.list_(pa.int32()))], ["y", "terms"])
 
-    picked = sample(docs.select(doc_id, text), labels, doc_id, label, fit.rows).select(text, "y")
+    picked = sample(docs.select(doc_id, text), labels, doc_id, text, label, fit.rows).select(text, "y")
     got = picked.mapInArrow(hash_batches, "y double, terms array<int>").toArrow()  # fit.rows rows at most
     return learn([np.asarray(x.values, dtype=np.int32) for x in got.column("terms")], got.column("y").to_numpy(), fit)
 
