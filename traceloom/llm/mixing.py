@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, join_sized, table
+from .common import BROADCAST_ROWS, WORD, cut, join_sized, table
 
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -90,7 +90,10 @@ def gaps(raked: DataFrame) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, mix: Mix = Mix()) -> DataFrame:
     """cells: source, lang, topic, tokens. Returns them with share (of tokens), weight (sums to 1 where the goals can be
     met together), bound, and the target and the goal of each dimension."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    n, total = cells.agg(F.count("*"), F.sum("tokens")).first()
+    total = total or 0
+    together = lambda df: df.coalesce(1) if n <= BROADCAST_ROWS else df  # noqa: E731  few cells need no shuffle in any round
+    cells = together(cells)
     w = cells.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1))))
     wanted = F.lit(True)
     for d in DIMENSIONS:
@@ -102,18 +105,18 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, mix: Mix
         whole = level.agg(F.sum("g")).first()[0] or 1.0
         w = w.join(level.select(d, (F.col("g") / whole).alias(f"target_{d}")), d, "left").withColumn(f"target_{d}", F.coalesce(f"target_{d}", F.lit(0.0)))
         wanted &= F.col(f"target_{d}") > 0
-    w = cut(w.withColumn("weight", F.when(wanted, F.col("share")).otherwise(0.0)), "rake")
+    w = together(cut(w.withColumn("weight", F.when(wanted, F.col("share")).otherwise(0.0)), "rake"))
     reach = w.agg(F.sum("weight")).first()[0] or 0.0
     fraction = min(mix.fraction, reach)
     if not fraction:
         return w.withColumns({"bound": F.lit(0.0), **{f"goal_{d}": F.lit(0.0) for d in DIMENSIONS}})
-    w = cut(w.withColumn("bound", F.col("weight") / fraction).withColumn("weight", F.col("weight") / reach), "rake")
+    w = together(cut(w.withColumn("bound", F.col("weight") / fraction).withColumn("weight", F.col("weight") / reach), "rake"))
     each = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("level"), F.col(f"target_{d}").alias("t")) for d in DIMENSIONS))
-    levels = cut(w.select("bound", F.explode(each).alias("x")).groupBy("x.dimension", "x.level").agg(F.max("x.t").alias("t"), F.sum("bound").alias("most")), "levels")
+    levels = together(cut(w.select("bound", F.explode(each).alias("x")).groupBy("x.dimension", "x.level").agg(F.max("x.t").alias("t"), F.sum("bound").alias("most")), "levels"))
     s = filled(levels)
     for d in DIMENSIONS:
         w = w.join(levels.filter(F.col("dimension") == d).select(F.col("level").alias(d), F.least("most", F.lit(s[d]) * F.col("t")).alias(f"goal_{d}")), d)
-    w, best, since = cut(w, "rake"), float("inf"), 0
+    w, best, since = together(cut(w, "rake")), float("inf"), 0
     while True:
         off = gaps(w).agg(F.max(F.when(F.col("goal") > 1e-12, F.abs(F.col("share") / F.nullif(F.col("goal"), F.lit(0.0)) - 1)))).first()[0] or 0.0
         if off <= mix.tolerance:
@@ -128,7 +131,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, mix: Mix
             up = F.col("weight") * (F.col(f"goal_{d}") - F.col("full")) / F.nullif(F.col("now") - F.col("full"), F.lit(0.0))
             new = F.when(F.col(f"goal_{d}") <= F.col("now"), down).when(full, F.col("weight")).otherwise(F.least(up, F.col("bound")))
             w = w.join(now, d).withColumn("weight", F.coalesce(new, F.lit(0.0))).drop("now", "full")
-        w = cut(w, "rake")
+        w = together(cut(w, "rake"))
 
 
 def calibrate(raked: DataFrame, fraction: float) -> DataFrame:
