@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import decontaminate, jaccard, mixing, quality_rules, token_ids
+from traceloom.llm import decontaminate, jaccard, mixing, quality_rules, simhash, token_ids
 from traceloom.llm.common import cut, table
 
 
@@ -14,8 +14,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard similarity 0.8) the smallest id stays."""
-    return jaccard.keep_one(docs)
+    """Of each group of near duplicates the smallest id stays. SimHash with deletion variants links texts within three
+    bits, as op3 does; an exact comparison (five-word shingles, Jaccard similarity 0.8) links what lies further apart."""
+    return jaccard.keep_one(docs, bits=simhash.BITS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

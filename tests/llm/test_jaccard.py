@@ -99,3 +99,29 @@ def test_a_group_is_linked_by_few_comparisons(spark, monkeypatch):
     out = [" ".join(base[:k] + ["x%d" % k] + base[k + 1 :]) for k in range(60)]
     docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
     assert [x.doc_id for x in j.keep_one(docs).collect()] == [0] and sum(compared) < 100
+
+
+def test_the_stage_links_by_fingerprints_first(spark):
+    """Within three bits by three-word shingles with repeats, but far apart as sets of five-word shingles."""
+    import corpus_pipeline
+    from traceloom.llm import simhash
+
+    words = [f"w{k}" for k in range(11)] * 40
+    other = [*words[:40], "else", *words[41:]]
+    texts = [" ".join(words), " ".join(other), "one two three four five six"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b, c = (int(x.fingerprint, 16) for x in simhash.near_duplicates(docs, "doc_id", "text").orderBy("doc_id").collect())
+    assert (a ^ b).bit_count() <= 3 < (a ^ c).bit_count() and len(j.keep_one(docs).collect()) == 3
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
+
+
+def test_a_pair_that_fingerprints_connect_is_not_compared(spark, monkeypatch):
+    compared = []
+    plain = j.near_pairs
+    monkeypatch.setattr(j, "near_pairs", lambda pairs, sets: (compared.append(pairs.count()), plain(pairs, sets))[1])
+    r = random.Random(5)
+    words = ["w%d" % r.randrange(10**6) for _ in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "end"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x.doc_id for x in j.keep_one(docs, bits=3).collect()] == [0] and sum(compared) == 0
+    assert [x.doc_id for x in j.keep_one(docs).collect()] == [0] and sum(compared) == 1

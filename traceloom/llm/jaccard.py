@@ -5,6 +5,8 @@ similarity is 4/5 share one of the first n - ceil(4n/5) + 1 of the one and of th
 other. Only these prefixes are joined; sizes and places in the prefix rule out most pairs, the others are compared
 whole, after a look at their sketches: of the parities of 2,048 shares or more of two sets, no more differ than
 shingles do.
+With `bits`, SimHash with deletion variants (op3's operator) goes first: fingerprints at `bits` or fewer differing bits
+link their texts, pairs that it has connected are not compared, and the exact comparison finds what lies further apart.
 Nothing is sampled but the order: shingles that a sample of the texts holds often come last, which keeps keys
 short and changes no result.
 
@@ -30,12 +32,15 @@ from pyspark.sql import functions as F
 from .common import cut, join_sized
 from .components import components
 from .lm_score import isin, pair
+from .simhash import fingerprint_all
+from .simhash import links as print_links
 
 SIZE = 5
 CROWD = 256
 SAMPLE = 64  # one text in so many is counted for the order
 COMMON = 1 << 17
 BITS = 2_048  # of a sketch
+LOOK = 256  # of the sketches that likely pairs are judged by
 STARS = 2  # rounds in which each set is compared with one other
 _WORDS = 200_000  # at a time
 
@@ -81,10 +86,10 @@ def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~on], s[on]])[:take] if on.any() else s[:take]
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
+def sketch(s: np.ndarray, least: int = BITS) -> np.ndarray:
     """Parities of the number of shingles in each share, as words of 64; a larger set has twice as many shares, or four
     times, ..., so that a sketch has about a bit a shingle."""
-    bits = BITS << (len(s) // BITS).bit_length()
+    bits = least << (len(s) // least).bit_length()
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -222,6 +227,23 @@ def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(similar(F.size(F.array_intersect("a_shingles", "b_shingles")), F.size("a_shingles"), F.size("b_shingles"))).select("a", "b")
 
 
+def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs a, b that are not connected yet."""
+    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return left.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
+def linked_prints(seen: DataFrame, bits: int) -> DataFrame:
+    """seen: sid, fp. Returns a, b: links between sets whose fingerprints are equal or connected by `bits` or fewer
+    differing bits."""
+    held = cut(seen.select("sid", "fp").distinct(), "prints")
+    root = components(print_links(held.select("fp").distinct(), bits))
+    named = held.join(root, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("sid").alias("b"), F.count("*").alias("n")).filter("n > 1").select("root", "b")
+    return join_sized(named, least, ["root"], "inner").filter("sid <> b").select(F.col("sid").alias("a"), "b")
+
+
 def linked(likely: DataFrame, sets: DataFrame, links: DataFrame, stars: int = STARS) -> DataFrame:
     """node, root of the components that links and the similar ones among the likely pairs make.
 
@@ -229,22 +251,21 @@ def linked(likely: DataFrame, sets: DataFrame, links: DataFrame, stars: int = ST
     first compares every set with the smallest that it is likely to be similar to, one pair a set; pairs whose ends are
     connected by then need no look. After `stars` rounds all pairs that are left are compared.
     """
-    opened, links = likely, cut(links, "links")
+    links = cut(links, "links")
+    opened = cut(apart(likely, components(links)), "open")
     for turn in range(stars + 1):
         chosen = opened.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if turn < stars else opened
         links = cut(links.union(near_pairs(chosen, sets)), "links")
         root = components(links)
         if turn == stars:
             break
-        of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
-        left = opened.join(chosen, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        opened = cut(left.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "open")
+        opened = cut(apart(opened.join(chosen, ["a", "b"], "left_anti"), root), "open")
         if opened.isEmpty():
             break
     return root
 
 
-def classes(docs: DataFrame, doc_id: str, text: str, size: int = SIZE, crowd: int = CROWD) -> DataFrame:
+def classes(docs: DataFrame, doc_id: str, text: str, size: int = SIZE, crowd: int = CROWD, bits: int | None = None) -> DataFrame:
     """id, th (hash of the text), root (one value a component); a row for each of docs."""
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     sampled = sets_of(rows.filter(F.pmod("th", F.lit(SAMPLE)) == 0).dropDuplicates(["th"]), ["th"], size)
@@ -258,11 +279,12 @@ def classes(docs: DataFrame, doc_id: str, text: str, size: int = SIZE, crowd: in
             for piece, texts in pieces_of(batch, 1):
                 sets = shingle_sets(texts, size)
                 sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), len(s)) for s in sets], dtype=np.uint64).view(np.int64)
-                longs = [pa.array(x, pa.list_(pa.int64())) for x in ([prefix(s, held.value).view(np.int64) for s in sets], [sketch(s) for s in sets])]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sid), pa.array([len(s) for s in sets], pa.int64()), *longs], ["row", "sid", "n", "keys", "sketch"])
+                longs = [pa.array(x, pa.list_(pa.int64())) for x in ([prefix(s, held.value).view(np.int64) for s in sets], [sketch(s, LOOK) for s in sets])]
+                fps = pa.nulls(len(sets), pa.int64()) if bits is None else pa.array(fingerprint_all(texts))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sid), pa.array([len(s) for s in sets], pa.int64()), *longs, fps], ["row", "sid", "n", "keys", "sketch", "fp"])
 
-    schema = df.select("row", *(F.lit(None).cast(t).alias(c) for c, t in (("sid", "long"), ("n", "long"), ("keys", "array<long>"), ("sketch", "array<long>")))).schema
-    seen = cut(df.mapInArrow(read, schema).select("row.*", "sid", "n", "keys", "sketch"), "prefixes")
+    schema = df.select("row", *(F.lit(None).cast(t).alias(c) for c, t in (("sid", "long"), ("n", "long"), ("keys", "array<long>"), ("sketch", "array<long>"), ("fp", "long")))).schema
+    seen = cut(df.mapInArrow(read, schema).select("row.*", "sid", "n", "keys", "sketch", "fp"), "prefixes")
     found = cut(candidates(seen.filter("n > 0").select("sid", "n", "keys").dropDuplicates(["sid"]), crowd), "candidates")
     in_pair = found.filter("g is null").select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     sketches = cut(join_sized(seen.select("sid", "n", "sketch"), in_pair, ["sid"], "left_semi").dropDuplicates(["sid"]), "sketches")
@@ -277,7 +299,8 @@ def classes(docs: DataFrame, doc_id: str, text: str, size: int = SIZE, crowd: in
     texts = join_sized(rows.select("text", *_keys(F.col("id"), F.col("th"))), few, KEYS, "inner").select("sid", "text").dropDuplicates(["sid"])
     sets = cut(sets_of(texts, ["sid"], size), "sets")
     in_crowd = join_sized(sets, crowds.select("sid").distinct(), ["sid"], "left_semi")
-    root = linked(likely, sets, crowd_links(crowds.join(in_crowd, "sid")))
+    links = crowd_links(crowds.join(in_crowd, "sid"))
+    root = linked(likely, sets, links if bits is None else links.union(linked_prints(seen, bits)))
     return seen.select("id", "th", "sid").join(root, F.col("sid") == F.col("node"), "left").select("id", "th", F.coalesce("root", "sid").alias("root"))
 
 
@@ -289,10 +312,10 @@ def _keys(doc_id: Column, th: Column) -> list[Column]:
     return [doc_id.isNull().alias("_bare"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("_id"), th.alias("_th")]
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, crowd: int = CROWD) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, crowd: int = CROWD, bits: int | None = None) -> DataFrame:
     """Of each component the row with the smallest id (of repeated rows that which comes first in order of all columns),
     with the columns of docs. Only rows that go, or stand repeated, are looked up; the others stay where they are."""
-    member = cut(classes(docs, doc_id, text, size, crowd).groupBy("root", "id", "th").agg(F.count("*").alias("times")), "members")
+    member = cut(classes(docs, doc_id, text, size, crowd, bits).groupBy("root", "id", "th").agg(F.count("*").alias("times")), "members")
     winner = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "th")).alias("w"))
     won = F.col("w.id").eqNullSafe(F.col("id")) & (F.col("w.th") == F.col("th"))
     fate = cut(member.join(winner, "root").select(*_keys(F.col("id"), F.col("th")), F.when(won, F.col("times")).otherwise(0).alias("_stay")).filter("_stay <> 1"), "fate")
