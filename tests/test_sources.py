@@ -1,6 +1,8 @@
 import json
 import sqlite3
 
+from pyspark.sql import functions as F
+
 from traceloom.sources import claude, codex, copilot, cursor, emit, hermes, lines, opencode, pi, sqlite, walk
 
 J = json.dumps
@@ -134,3 +136,11 @@ def test_hermes_rows_take_from_the_session_until_it_is_used_up(spark, tmp_path):
     u = hermes.usage(sqlite.rows(spark, str(db), ["sessions", "session_model_usage"])).collect()
     assert sorted((x.model, x.raw_input, x.output) for x in u) == [("a", 70, 4), ("b", 30, 4), ("big", 0, 2)]
     assert all(x.cache_chain_excluded and x.timestamp_ms == 1704067200000 for x in u)
+
+
+def test_a_message_is_parsed_once(spark):
+    rows = spark.range(3).select(F.lit("/m.json").alias("source_path"), F.lit(1).alias("priority"), F.lit(0).alias("line_no"), F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.lit("assistant").alias("role"), F.struct(F.col("id").alias("input")).alias("tokens"))).alias("value"))
+    for used in (opencode.usage(rows), claude.usage(rows)):
+        plan = used._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("to_json(") <= 2  # claude's filter looks for a word before
+    assert sorted(r.raw_input for r in opencode.usage(rows).collect()) == [1, 2]

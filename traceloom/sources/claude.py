@@ -69,8 +69,7 @@ def records(files: DataFrame, include_reasoning: bool = False) -> DataFrame:
 
 def usage(files: DataFrame) -> DataFrame:
     """Usage events; lines without the word usage are not parsed."""
-    e = F.from_json("value", _ENTRY + f"message struct<id: string, model: string, usage: {_USAGE}>")
-    df = files.filter(F.col("value").contains('"usage"')).withColumn("_e", e).filter((F.col("_e.type") == "assistant") & F.col("_e.message.usage").isNotNull())
+    df = lines.parsed(files.filter(F.col("value").contains('"usage"')), _ENTRY + f"message struct<id: string, model: string, usage: {_USAGE}>").filter((F.col("_e.type") == "assistant") & F.col("_e.message.usage").isNotNull())
     x, m = F.col("_e"), F.col("_e.message")
     n = lambda *names: F.greatest(F.coalesce(*(m["usage"][k] for k in names), F.lit(0)), F.lit(0)).cast("long")
     s = lambda *names: F.nullif(F.coalesce(*(x[k] for k in names)), F.lit(""))

@@ -16,7 +16,7 @@ _DATA = "struct<sessionId: string, context: struct<cwd: string>, cwd: string, co
 
 
 def records(files: DataFrame) -> DataFrame:
-    df = files.withColumn("_e", F.from_json("value", f"type string, id string, parentId string, timestamp string, data {_DATA}")).filter(F.col("_e.type").isNotNull())
+    df = lines.parsed(files, f"type string, id string, parentId string, timestamp string, data {_DATA}").filter(F.col("_e.type").isNotNull())
     x, d = F.col("_e"), F.col("_e.data")
     w = Window.partitionBy("source_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({"_session": F.last(F.when(x["type"].startswith("session."), d["sessionId"]), ignorenulls=True).over(w), "_cwd": F.last(F.when(x["type"].startswith("session."), F.coalesce(d["context"]["cwd"], d["cwd"])), ignorenulls=True).over(w)})

@@ -30,6 +30,12 @@ def excluded(path: Column, globs: list[str]) -> Column:
     return out
 
 
+def parsed(df: DataFrame, schema: str, into: str = "_e") -> DataFrame:
+    """df with the JSON of `value`, parsed once a row. It is a generator's output: Spark moves filters below a plain
+    column's expression, and each of them would write and parse the text again."""
+    return df.withColumn(into, F.explode(F.array(F.from_json("value", schema))))
+
+
 def session_from_path(path: Column) -> Column:
     """The last UUID in the file's name, else its stem."""
     name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]+$", "")

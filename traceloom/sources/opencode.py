@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from ..operators.usage import disjoint_buckets, total_tokens
 from ..schema import USAGE_EVENTS, columns
-from . import emit
+from . import emit, lines
 
 _MESSAGE = "id string, sessionID string, role string, time struct<created: double>, providerID string, modelID string, cost double, path struct<cwd: string>, tokens struct<input: long, output: long, reasoning: long, cache: struct<read: long, write: long>>"
 
 
 def session_links(sessions: DataFrame) -> DataFrame:
     """session_id, parent_session_id, conversation_kind from session files (value: JSON)."""
-    e = sessions.select(F.from_json("value", "id string, parentID string").alias("e")).filter("e.id is not null")
+    e = lines.parsed(sessions, "id string, parentID string", "e").filter("e.id is not null")
     return e.select(F.col("e.id").alias("session_id"), F.col("e.parentID").alias("parent_session_id"), F.when(F.col("e.parentID").isNotNull(), "fork").otherwise("main").alias("conversation_kind")).dropDuplicates(["session_id"])
 
 
 def records(messages: DataFrame, parts: DataFrame, sessions: DataFrame) -> DataFrame:
     """One record a message that has text: its parts' texts in the order of their files. All inputs: source_path, value."""
-    m = messages.select("source_path", F.from_json("value", _MESSAGE).alias("e")).filter("e.id is not null")
-    p = parts.select(F.col("source_path").alias("part_path"), F.from_json("value", "messageID string, type string, text string").alias("p")).filter("p.type = 'text' and p.text is not null")
+    m = lines.parsed(messages, _MESSAGE, "e").select("source_path", "e").filter("e.id is not null")
+    p = lines.parsed(parts, "messageID string, type string, text string", "p").select(F.col("source_path").alias("part_path"), "p").filter("p.type = 'text' and p.text is not null")
     text = p.groupBy(F.col("p.messageID").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_path", F.col("p.text").alias("text")))), lambda x: x["text"]), "\n").alias("said"))  # within one message
     df = m.withColumn("id", F.col("e.id")).join(text, "id").withColumn("session_id", F.col("e.sessionID")).join(session_links(sessions), "session_id", "left")
     df = df.withColumns({
@@ -35,7 +35,7 @@ def records(messages: DataFrame, parts: DataFrame, sessions: DataFrame) -> DataF
 
 def usage(rows: DataFrame) -> DataFrame:
     """rows: source_path, value (message JSON), priority (0: a database, 1: loose files). Reasoning counts as output."""
-    df = rows.withColumn("_e", F.from_json("value", _MESSAGE)).filter("_e.role = 'assistant' and _e.tokens is not null")
+    df = lines.parsed(rows, _MESSAGE).filter("_e.role = 'assistant' and _e.tokens is not null")
     t = F.col("_e.tokens")
     n = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long")
     buckets = disjoint_buckets(n(t["input"]), n(t["cache"]["read"]), n(t["cache"]["write"]), n(t["output"]) + n(t["reasoning"]))
