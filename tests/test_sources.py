@@ -144,3 +144,13 @@ def test_a_message_is_parsed_once(spark):
         plan = used._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") == 1 and plan.count("to_json(") <= 2  # claude's filter looks for a word before
     assert sorted(r.raw_input for r in opencode.usage(rows).collect()) == [1, 2]
+
+
+def test_codex_totals_are_made_once(spark, tmp_path):
+    total = lambda n: {"type": "event_msg", "timestamp": "2024-01-01T00:00:00Z", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": n, "cached_input_tokens": 1, "output_tokens": n, "reasoning_output_tokens": 0}}}}
+    for k in range(3):
+        write(tmp_path, f"{k}.jsonl", [{"type": "turn_context", "payload": {"model": f"m{k}"}}, total(10 + k), total(10 + k), {"type": "turn_context", "payload": {"model": "n"}}, total(25)])
+    used = codex.usage(lines.read(spark, str(tmp_path)))
+    assert used._jdf.queryExecution().optimizedPlan().toString().count("from_json(") <= 1
+    got = sorted((r.session_id, r.source_order, r.raw_input, r.output, r.model, r.conservative_undercount) for r in used.collect())
+    assert got == [(str(k), at, n, n, m, False) for k in range(3) for at, n, m in ((1, 10 + k, f"m{k}"), (4, 15 - k, "n"))]

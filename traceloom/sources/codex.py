@@ -13,6 +13,7 @@ from ..functions.text import file_name
 from ..functions.times import parse_source_ts
 from ..operators.usage import codex_buckets, total_tokens
 from ..schema import RECORDS, USAGE_EVENTS, columns
+from ..scratch import cut
 from ..sinks.usage_cache import UsageCache
 from ..streaming import counters
 from . import emit, lines
@@ -80,7 +81,7 @@ def _parent(p):
 
 def parents(files: DataFrame) -> DataFrame:
     """source_path, parent_id of files that are forks: what their last head says."""
-    df = files.filter(F.col("value").contains('"session_meta"')).withColumn("_e", F.from_json("value", f"type string, {_PARENT}>"))
+    df = lines.parsed(files.filter(F.col("value").contains('"session_meta"')), f"type string, {_PARENT}>")
     named = df.filter("_e.type = 'session_meta'").select("source_path", "line_no", _parent(F.col("_e.payload")).alias("parent_id")).filter("parent_id is not null")
     return named.groupBy("source_path").agg(F.max_by("parent_id", "line_no").alias("parent_id"))
 
@@ -100,7 +101,9 @@ def cached_usage(listing: DataFrame, read: Callable[[DataFrame], DataFrame], roo
 def usage(files: DataFrame) -> DataFrame:
     """Requests from the running totals and last requests of a file, with the model, turn and folder last named before
     them. A fork starts from its parent's totals up to the time of the fork; where the parent isn't there, from its own
-    first total, and its requests are marked as an undercount."""
+    first total, and its requests are marked as an undercount.
+
+    The totals are written to the shared folder, as forks, parents and requests are all read from them."""
     wanted = [F.col("value").contains(f'"{k}"') for k in ("token_count", "session_meta", "turn_context", "task_started")]
     df = files.filter(reduce(or_, wanted))
     df = df.withColumn("_e", F.from_json("value", f"timestamp string, type string, {_PARENT}, info: struct<total_token_usage: {_TOKENS}, last_token_usage: {_TOKENS}>>"))
@@ -118,16 +121,19 @@ def usage(files: DataFrame) -> DataFrame:
         "source_path", F.col("line_no").cast("long").alias("source_order"), F.coalesce(ts, F.lit(0).cast("long")).alias("ts"), "_cwd", "_model", "_turn", "_session", "parent_id", "fork_ts",
         *(F.when(x.isNotNull(), F.coalesce(x[k], F.lit(0))).cast("long").alias(f"{start}{f}") for start, x in (("", total), ("last_", last)) for f, k in keys.items()),
     )
-    sums = seen.select(lines.session_from_path(F.col("source_path")).alias("session_id"), "ts", *keys).filter(reduce(or_, (F.col(f) > 0 for f in keys)))
-    forks = seen.filter("parent_id is not null").select(F.col("source_path").alias("source_order"), "parent_id", "fork_ts").distinct()
-    base = counters.inherited(forks, sums, list(keys)).select(F.col("source_order").alias("source_path"), *(F.col(f).alias(f"base_{f}") for f in keys))
-    again = counters.replays(seen.filter("parent_id is not null"), sums).withColumn("replayed", F.lit(True))
     nth = F.count_if(reduce(or_, (F.col(f) > 0 for f in keys))).over(Window.partitionBy("source_path").orderBy("source_order").rowsBetween(Window.unboundedPreceding, 0))
-    fork, found = F.col("parent_id").isNotNull(), F.col("base_input").isNotNull()
-    dealt = seen.withColumn("_nth", nth).join(base, "source_path", "left").join(again, ["source_path", "source_order"], "left")
-    dealt = dealt.withColumn("inherited", fork & ((F.col("ts") <= F.col("fork_ts")) | (~found & (F.col("_nth") == 1) & (F.coalesce("input", F.lit(0)) + F.coalesce("output", F.lit(0)) > 0))))
-    about = dealt.select("source_path", "source_order", "_cwd", "_model", "_turn", "_session", (fork & ~found).alias("_open"))
-    d = counters.deltas(dealt).withColumnRenamed("output", "out").join(about, ["source_path", "source_order"])
+    seen = cut(seen.withColumn("_nth", nth), "totals")
+    if seen.filter("parent_id is not null").isEmpty():
+        dealt = seen.withColumn("_open", F.lit(False))
+    else:
+        sums = seen.select(lines.session_from_path(F.col("source_path")).alias("session_id"), "ts", *keys).filter(reduce(or_, (F.col(f) > 0 for f in keys)))
+        forks = seen.filter("parent_id is not null").select(F.col("source_path").alias("source_order"), "parent_id", "fork_ts").distinct()
+        base = counters.inherited(forks, sums, list(keys)).select(F.col("source_order").alias("source_path"), *(F.col(f).alias(f"base_{f}") for f in keys))
+        again = counters.replays(seen.filter("parent_id is not null"), sums).withColumn("replayed", F.lit(True))
+        fork, found = F.col("parent_id").isNotNull(), F.col("base_input").isNotNull()
+        dealt = seen.join(base, "source_path", "left").join(again, ["source_path", "source_order"], "left")
+        dealt = dealt.withColumn("inherited", fork & ((F.col("ts") <= F.col("fork_ts")) | (~found & (F.col("_nth") == 1) & (F.coalesce("input", F.lit(0)) + F.coalesce("output", F.lit(0)) > 0)))).withColumn("_open", fork & ~found)
+    d = counters.deltas(dealt, ["_cwd", "_model", "_turn", "_session", "_open"]).withColumnRenamed("output", "out")
     nth = F.row_number().over(Window.partitionBy("source_path").orderBy("source_order")) - 1
     df = d.withColumns({
         **codex_buckets(F.col("input"), F.col("cached"), F.col("out")), "source": F.lit("codex"), "source_record_id": F.concat(F.lit("event:"), nth.cast("string")), "session_id": F.coalesce("_session", lines.session_from_path(F.col("source_path"))),

@@ -83,10 +83,11 @@ def fold(lines: Iterable[tuple], ground: Four | None = None) -> Iterator[tuple[F
         yield bill, mixed
 
 
-def deltas(totals: DataFrame) -> DataFrame:
+def deltas(totals: DataFrame, keep: list[str] = ()) -> DataFrame:
     """totals: source_path, source_order, ts and the four sums (null where a line has none); also, if there are such
     columns, last_* (the four numbers of the last request), base_* (what a fork starts from), inherited (ground that a
-    fork took over) and replayed. One row a request; `mixed` once several streams share the file.
+    fork took over) and replayed. One row a request; `mixed` once several streams share the file. Columns in keep come
+    through from the request's line.
 
     The order of a file's lines decides, and no window can say it. Files are dealt and sorted by Spark; a task reads
     them line by line and holds one file's sums, however long a file is.
@@ -94,32 +95,41 @@ def deltas(totals: DataFrame) -> DataFrame:
     have = set(totals.columns)
     opt = lambda c, t: (F.col(c) if c in have else F.lit(None)).cast(t).alias(c)
     names = [*FIELDS, *(f"last_{f}" for f in FIELDS), *(f"base_{f}" for f in FIELDS)]
-    rows = totals.select("source_path", F.col("source_order").cast("long").alias("source_order"), F.col("ts").cast("long").alias("ts"), *(opt(c, "long") for c in names), opt("inherited", "boolean"), opt("replayed", "boolean"))
+    rows = totals.select("source_path", F.col("source_order").cast("long").alias("source_order"), F.col("ts").cast("long").alias("ts"), *(opt(c, "long") for c in names), opt("inherited", "boolean"), opt("replayed", "boolean"), *keep)
+    ahead = len(rows.columns) - len(keep)
 
     four = lambda x: tuple(v or 0 for v in x) if any(x) else None
 
     def read(batches: Iterator[pa.RecordBatch], row: dict) -> Iterator[tuple]:
         for batch in batches:
-            for path, order, ts, *rest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                row |= {"key": (path, order, ts), "ground": None if all(v is None for v in rest[8:12]) else tuple(v or 0 for v in rest[8:12])}
+            for k, (path, order, ts, *rest) in enumerate(zip(*(x.to_pylist() for x in batch.columns[:ahead]), strict=True)):
+                row |= {"batch": batch, "at": k, "key": (path, order, ts), "ground": None if all(v is None for v in rest[8:12]) else tuple(v or 0 for v in rest[8:12])}
                 yield path, (four(rest[:4]), four(rest[4:8]), bool(rest[13]), bool(rest[12]))
 
     def bill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row: dict = {}  # the line that is being read
-        out: list[tuple] = []
+        batch, out, at = None, [], []
         kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
-        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["source_path", "source_order", "ts", *FIELDS, "mixed"])
+
+        def billed() -> pa.RecordBatch:
+            kept = [batch.column(ahead + k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
+            return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)), *kept], ["source_path", "source_order", "ts", *FIELDS, "mixed", *keep])
+
         for _, lines in groupby(read(batches, row), key=lambda x: x[0]):
             first = next(lines)
             for took, mixed in fold((x[1] for x in chain([first], lines)), row["ground"]):
+                if row["batch"] is not batch:
+                    if out:
+                        yield billed()
+                    batch, out, at = row["batch"], [], []
                 if any(took):
                     out.append((*row["key"], *took, mixed))
-                if len(out) == 10_000:
-                    yield batch_of()
-                    out.clear()
-        yield batch_of()
+                    at.append(row["at"])
+        if out:
+            yield billed()
 
-    return rows.repartition("source_path").sortWithinPartitions("source_path", "source_order").mapInArrow(bill, SCHEMA)
+    schema = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in totals.select(*keep).schema) if keep else ""
+    return rows.repartition("source_path").sortWithinPartitions("source_path", "source_order").mapInArrow(bill, SCHEMA + schema)
 
 
 def inherited(children: DataFrame, parents: DataFrame, values: list[str]) -> DataFrame:
