@@ -281,3 +281,9 @@ def test_transfer_and_paging(spark):
     assert [(x.turn_id, x.total, x.next_offset) for x in page] == [(8, 10, None), (9, 10, None)]
     assert records.in_scope(r, r.limit(0)).count() == 0
     assert records.top_per_session(r.withColumn("score", F.col("turn_id")), 2).count() == 2
+
+
+def test_parts_grow_in_number_and_not_in_rows(spark):
+    few, many = (usage.dealt(spark.range(n), ["id"], most=100) for n in (50, 5000))
+    assert few.rdd.getNumPartitions() == 4 and many.rdd.getNumPartitions() == 50
+    assert many.count() == 5000 and max(map(len, many.rdd.glom().collect())) < 200

@@ -9,6 +9,8 @@ from ..functions.projects import same_project
 
 IDLE_MS = 300_000
 NOISE_TOKENS = 1024
+#: Rows of a part that one task sorts.
+TASK_ROWS = 500_000
 
 #: Milli-USD per million tokens. OpenAI models: input, cache read, output; a cache write costs as input.
 OPENAI = {
@@ -142,6 +144,13 @@ def miss_nanos() -> Column:
     return F.coalesce(F.floor(F.greatest(rate, F.lit(0)) * F.col("missed_tokens") / 1_000_000), F.lit(0)).cast("long")
 
 
+def dealt(rows: DataFrame, keys: list[str], most: int = TASK_ROWS) -> DataFrame:
+    """rows in parts by keys, more of them the more rows there are: a task that sorts or joins a part then takes the
+    same memory for any input. A fixed number of shuffle partitions would let it grow."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(n, -(-rows.count() // most)), *keys)
+
+
 def cap_to_total(rows: DataFrame, keys: list[str], order: list, value: str, total: str) -> DataFrame:
     """Rows in order take from their group's total until it is used up: capped."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

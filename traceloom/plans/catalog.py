@@ -423,14 +423,14 @@ def cache_waste(spark, sf_dir):
 def capped_allocation(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("t"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
-    return usage.cap_to_total(li.join(o, "l_orderkey"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "q"], "q", "t").select("l_orderkey", "l_linenumber", "capped")
+    return usage.cap_to_total(usage.dealt(li, ["l_orderkey"]).join(o, "l_orderkey"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "q"], "q", "t").select("l_orderkey", "l_linenumber", "capped")
 
 
 @register("SELECT o_orderkey AS l_orderkey, CAST(greatest(floor(o_totalprice / 1000) - coalesce(q, 0), 0) AS BIGINT) AS residual FROM orders LEFT JOIN (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey WHERE floor(o_totalprice / 1000) - coalesce(q, 0) > 0")
 def residual_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("t"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("q"))
-    return usage.residuals(o, li, ["l_orderkey"], "q", "t")
+    return usage.residuals(o, usage.dealt(li, ["l_orderkey"]), ["l_orderkey"], "q", "t")
 
 
 @register(f"""WITH e AS ({USAGE_SQL}), x AS (SELECT *, row_number() OVER (PARTITION BY message_id, request_id ORDER BY CAST(sidechain AS INTEGER), CAST(contains(source_path, '/subagents/') AS INTEGER), uncached_input + cache_read + cache_write + output DESC, source_order DESC) AS n FROM e),
