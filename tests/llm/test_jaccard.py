@@ -125,3 +125,13 @@ def test_a_pair_that_fingerprints_connect_is_not_compared(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [x.doc_id for x in j.keep_one(docs, bits=3).collect()] == [0] and sum(compared) == 0
     assert [x.doc_id for x in j.keep_one(docs).collect()] == [0] and sum(compared) == 1
+
+
+def test_tables_on_the_way_go(spark, tmp_path, monkeypatch):
+    import os
+
+    from traceloom import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: str(tmp_path))
+    out = scratch.settled(spark, lambda: scratch.cut(spark.range(3), "way").filter("id > 0"), "end")
+    assert [d.split("-")[0] for d in os.listdir(tmp_path)] == ["end"] and out.count() == 2

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_sized
+from .common import cut, join_sized, settled
 from .components import components
 from .lm_score import isin, pair
 from .simhash import fingerprint_all
@@ -314,11 +314,17 @@ def _keys(doc_id: Column, th: Column) -> list[Column]:
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, crowd: int = CROWD, bits: int | None = None) -> DataFrame:
     """Of each component the row with the smallest id (of repeated rows that which comes first in order of all columns),
-    with the columns of docs. Only rows that go, or stand repeated, are looked up; the others stay where they are."""
-    member = cut(classes(docs, doc_id, text, size, crowd, bits).groupBy("root", "id", "th").agg(F.count("*").alias("times")), "members")
-    winner = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "th")).alias("w"))
-    won = F.col("w.id").eqNullSafe(F.col("id")) & (F.col("w.th") == F.col("th"))
-    fate = cut(member.join(winner, "root").select(*_keys(F.col("id"), F.col("th")), F.when(won, F.col("times")).otherwise(0).alias("_stay")).filter("_stay <> 1"), "fate")
+    with the columns of docs. Only rows that go, or stand repeated, are looked up; the others stay where they are. Of the
+    tables on the way only the rows' fate is left in the shared folder."""
+    spark = docs.sparkSession
+
+    def fates() -> DataFrame:
+        member = settled(spark, lambda: classes(docs, doc_id, text, size, crowd, bits).groupBy("root", "id", "th").agg(F.count("*").alias("times")), "members")
+        winner = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "th")).alias("w"))
+        won = F.col("w.id").eqNullSafe(F.col("id")) & (F.col("w.th") == F.col("th"))
+        return member.join(winner, "root").select(*_keys(F.col("id"), F.col("th")), F.when(won, F.col("times")).otherwise(0).alias("_stay")).filter("_stay <> 1")
+
+    fate = settled(spark, fates, "fate")
     rows = docs.select(F.struct("*").alias("row"), *_keys(F.col(doc_id), F.xxhash64(F.coalesce(text, F.lit("")))))
     dealt = join_sized(rows, fate, KEYS, "left")
     n = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("row").cast("string")))
