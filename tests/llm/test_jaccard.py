@@ -135,3 +135,30 @@ def test_tables_on_the_way_go(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "shared_dir", lambda spark: str(tmp_path))
     out = scratch.settled(spark, lambda: scratch.cut(spark.range(3), "way").filter("id > 0"), "end")
     assert [d.split("-")[0] for d in os.listdir(tmp_path)] == ["end"] and out.count() == 2
+
+
+def test_sets_of_a_crowd_without_a_partner_do_not_move(spark, monkeypatch):
+    """Texts that share a passage and nothing else, and two that are similar: two sets are brought together under the key."""
+    moved = []
+    plain = j.crowd_links
+    monkeypatch.setattr(j, "crowd_links", lambda members: (moved.append(members.select("sid").distinct().count()), plain(members))[1])
+    monkeypatch.setattr(j, "prefix", lambda s, common: s)  # the passage is a key of all
+    r = random.Random(6)
+    note = ["n%d" % k for k in range(6)]
+    out = [" ".join([*note, *("w%d" % r.randrange(10**6) for _ in range(100 + 40 * (k % 8)))]) for k in range(40)]
+    out.append(out[0] + " more")
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in j.keep_one(docs, crowd=8).collect()) == list(range(40)) and moved == [2]
+
+
+def test_sketches_of_a_crowd_rule_out_no_similar_set():
+    r = np.random.default_rng(5)
+    sets = []
+    for n in (40, 255, 256, 300, 511, 513, 1030, 2500):
+        x = np.unique(r.integers(0, 2**63, 3 * n, dtype=np.uint64))
+        r.shuffle(x)
+        sets += [np.sort(x[:n]), np.sort(x[: n - n // 5]), np.sort(x[2 * n :])]
+    size = np.array([len(s) for s in sets])
+    like = np.array([any(k != m and j.similar(len(np.intersect1d(a, b)), len(a), len(b)) for m, b in enumerate(sets)) for k, a in enumerate(sets)])
+    got = j.may_match([j.sketch(s, j.LOOK).view(np.uint64) for s in sets], size)
+    assert like.sum() >= 16 and got[like].all() and not got[2::3].any()

@@ -10,8 +10,9 @@ link their texts, pairs that it has connected are not compared, and the exact co
 Nothing is sampled but the order: shingles that a sample of the texts holds often come last, which keeps keys
 short and changes no result.
 
-Equal sets meet as one before any join. Under a key with over `CROWD` sets, no pairs are made: the sets are brought
-together and linked by a search outward that gives a spanning tree of them.
+Equal sets meet as one before any join. Under a key with over `CROWD` sets, no pairs are made: sizes and sketches are
+brought together first, and the sets that they leave a partner are linked by a search outward that gives a spanning tree
+of them.
 
 Defined results: words are lowered (A-Z) and parted at ASCII blanks; texts of fewer words than a shingle are one
 shingle; null and empty texts are one set, equal to itself alone; of a component the smallest id stays, null ids come
@@ -178,6 +179,64 @@ def candidates(prefixes: DataFrame, crowd: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "g long, a long, b long").distinct()
 
 
+def may_match(sketches: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """Which sets of a crowd have another one in it that neither sizes nor sketches rule out."""
+    words = np.array([len(x) for x in sketches])
+    held = {w: np.stack([sketches[k] for k in np.flatnonzero(words == w)]) for w in np.unique(words).tolist()}
+    of_size = {w: n[words == w] for w in held}
+    on = {w: np.zeros(len(x), bool) for w, x in held.items()}
+    for w, x in held.items():
+        for v in (w, 2 * w):  # the longer one is folded, as shares go by the last bits of a hash
+            if v not in held:
+                continue
+            y = held[v] if v == w else held[v][:, :w] ^ held[v][:, w:]
+            order = np.argsort(of_size[v], kind="stable")
+            size = of_size[v][order]
+            least, most = np.searchsorted(5 * size, 4 * of_size[w], "left"), np.searchsorted(4 * size, 5 * of_size[w], "right")
+            for i in range(len(x)):
+                near = order[least[i] : most[i]]
+                if on[w][i]:
+                    near = near[~on[v][near]]
+                if v == w:
+                    near = near[near != i]
+                for k in range(0, len(near), 10_000):
+                    some = near[k : k + 10_000]
+                    hit = some[9 * np.bitwise_count(y[some] ^ x[i]).sum(axis=1, dtype=np.int64) <= of_size[w][i] + of_size[v][some]]
+                    if len(hit):
+                        on[w][i] = True
+                        on[v][hit] = True
+    out = np.zeros(len(n), bool)
+    for w, x in on.items():
+        out[words == w] = x
+    return out
+
+
+def partnered(members: DataFrame) -> DataFrame:
+    """members: g, sid, n, sketch. Returns g, sid of those that may be similar to another one under their key; no whole set
+    moves for the others."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, size, sketches = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            some = np.array(ids)[may_match(sketches, np.array(size))]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), now), pa.int64()), pa.array(some, pa.int64())], ["g", "sid"])
+
+        for batch in batches:
+            for g, i, n, x in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if g != now:
+                    if ids:
+                        yield out()
+                    now, ids, size, sketches = g, [], [], []
+                ids.append(i)
+                size.append(n)
+                sketches.append(x.values.to_numpy().view(np.uint64))
+        if ids:
+            yield out()
+
+    return members.select("g", "sid", "n", "sketch").repartition("g").sortWithinPartitions("g").mapInArrow(choose, "g long, sid long")
+
+
 def crowd_links(members: DataFrame) -> DataFrame:
     """members: g, sid, shingles. Returns a, b: links that connect what is similar under a key."""
 
@@ -286,13 +345,13 @@ def classes(docs: DataFrame, doc_id: str, text: str, size: int = SIZE, crowd: in
     schema = df.select("row", *(F.lit(None).cast(t).alias(c) for c, t in (("sid", "long"), ("n", "long"), ("keys", "array<long>"), ("sketch", "array<long>"), ("fp", "long")))).schema
     seen = cut(df.mapInArrow(read, schema).select("row.*", "sid", "n", "keys", "sketch", "fp"), "prefixes")
     found = cut(candidates(seen.filter("n > 0").select("sid", "n", "keys").dropDuplicates(["sid"]), crowd), "candidates")
-    in_pair = found.filter("g is null").select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sketches = cut(join_sized(seen.select("sid", "n", "sketch"), in_pair, ["sid"], "left_semi").dropDuplicates(["sid"]), "sketches")
+    met = found.select(F.explode(F.array("a", "b")).alias("sid")).filter("sid is not null").distinct()
+    sketches = cut(join_sized(seen.select("sid", "n", "sketch"), met, ["sid"], "left_semi").dropDuplicates(["sid"]), "sketches")
     look = lambda c: sketches.select(F.col("sid").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("n").alias(f"{c}_n"))
     short = found.filter("g is null").select("a", "b").join(look("a"), "a").join(look("b"), "b")
     differ = differing(F.col("a_sketch"), F.col("b_sketch"))
     likely = cut(short.filter(9 * differ <= F.col("a_n") + F.col("b_n")).select("a", "b"), "likely")
-    crowds = found.filter("g is not null").select("g", F.col("a").alias("sid"))
+    crowds = cut(partnered(found.filter("g is not null").select("g", F.col("a").alias("sid")).join(sketches, "sid")), "crowds")
     need = likely.select(F.explode(F.array("a", "b")).alias("sid")).union(crowds.select("sid")).distinct()
     first = join_sized(seen.select("sid", "id", "th"), need, ["sid"], "left_semi").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("f"))
     few = cut(first.select("sid", *_keys(F.col("f.id"), F.col("f.th"))), "first")
