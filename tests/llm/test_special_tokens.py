@@ -41,3 +41,16 @@ def test_pieces_with_special_tokens(tmp_path, monkeypatch):
         assert coder.whole == path.endswith("wide.json")
         got = [x for k in range(0, len(texts), 100) for x in coder.encode(texts[k : k + 100])]
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_what_ends_letters_is_encoded_apart_from_them(monkeypatch):
+    """Known words with new ends: only the words are new to the tokenizer, and the ids stay those of whole texts."""
+    coder = t.Encoder(t.default_tokenizer(), special=True)
+    texts = ["Größe one$$$ two,three one. x9,8 3.14 ê.a don't áb,", "one,*** two$$$ one, two. Größe!! a-b.c one", "<|endoftext|>one.<|endoftext|>, ", "one\ttwo.\n,one ..., ,two"]
+    learned = []
+    plain = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda new: (learned.extend(new), plain(new))[1])
+    for text in texts:
+        got, = coder.encode([text])
+        assert got.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not {" one$$$", " two$$$", " Größe!!", " one."} & set(learned) and " one" in learned

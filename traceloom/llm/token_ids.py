@@ -56,7 +56,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
     if not n:
         return ids
     if ids.max() < len(_WIDTH):
-        width = _WIDTH[ids]
+        width = _WIDTH.take(ids.view(np.int64))
     else:
         width = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)  # bits; one too many above 2**53 does no harm
     best = np.where(width <= 60, 15, 0).astype(np.uint8)
@@ -119,10 +119,15 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Letters at the start of a piece; what follows them is a piece of its own to the tokenizer.
+HEAD = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+
 def rough(texts: pa.Array) -> pa.Array:
-    """Texts (large_string) cut before each space and line feed, as lists; only where no blank comes before do the cuts
-    hold."""
+    """Texts (large_string) cut before each space and line feed, and before a comma or full stop behind an ASCII letter or
+    digit, as lists; only where no blank comes before do the cuts at blanks hold."""
     marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+    marked = pc.replace_substring_regex(marked, "([A-Za-z0-9])([.,])", "\\1\0\\2")
     return pc.split_pattern(marked, "\0")
 
 
@@ -166,7 +171,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         added = self.tokenizer.get_added_tokens_decoder()
-        self.whole = any(a.lstrip or a.rstrip or a.single_word or a.content[-1:] in ".," or any(c.isspace() for c in a.content) for a in added.values())
+        self.whole = any(a.lstrip or a.rstrip or a.single_word or a.content[-1:] in ".," or any(c.isspace() for c in a.content) or re.search("[A-Za-z0-9][.,]", a.content) for a in added.values())
+        self.heads = not any((m := HEAD.match(a.content)) and m.end() < len(a.content) for a in added.values())
         known = self.tokenizer.get_vocab()
         self.size = np.zeros(max(known.values(), default=0) + 1, dtype=np.int64)  # bytes that an id stands for
         for token, i in known.items():
@@ -185,7 +191,7 @@ class Encoder:
         for k in range(0, len(new), TOGETHER):
             some = new[k : k + TOGETHER]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            reach, ends = np.cumsum(self.size[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in some])
+            reach, ends = np.cumsum(self.size[ids]), np.cumsum(pc.binary_length(pa.array(some, pa.string())).to_numpy())
             cuts = np.searchsorted(reach, ends)
             if len(reach) and reach[-1] == ends[-1] and (reach[cuts] == ends).all():
                 raw, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
@@ -194,25 +200,32 @@ class Encoder:
                 self.young.update(zip(some, self._plain(some), strict=True))
 
     def _meet(self, missing: list[str]) -> None:
-        """A comma or full stop behind a letter or digit is a piece of its own to the tokenizer, too."""
+        """Where letters end, and before a comma or full stop behind a letter or digit, the tokenizer starts a new piece, too."""
         young, old = self.young, self.old
-        new, ending = set(), []
+        new, parted = set(), []
         for p in missing:
             if p in old:
                 young[p] = old[p]
-            elif p[-1] in ".," and len(p) > 1 and p[-2].isalnum():
-                ending.append(p)
-                for part in (p[:-1], p[-1]):
+            elif p[1:].isalpha():
+                new.add(p)
+            else:
+                m = HEAD.match(p) if self.heads else None
+                k = m.end() if m else len(p)
+                if k == len(p) > 1 and p[-1] in ".," and p[-2].isalnum():
+                    k -= 1
+                if k == len(p):
+                    new.add(p)
+                    continue
+                parted.append((p, k))
+                for part in (p[:k], p[k:]):
                     if part not in young:
                         if part in old:
                             young[part] = old[part]
                         else:
                             new.add(part)
-            else:
-                new.add(p)
         self._learn(list(new))
-        for p in ending:
-            young[p] = young[p[:-1]] + young[p[-1]]
+        for p, k in parted:
+            young[p] = young[p[:k]] + young[p[k:]]
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
@@ -234,10 +247,10 @@ class Encoder:
         used = [p for p, on in zip(distinct, needed.tolist(), strict=True) if on]
         raw = list(map(self.young.get, used))
         unknown = [k for k, r in enumerate(raw) if r is None]
-        missing = {used[k] for k in unknown}.union(*(set(c) - self.young.keys() for c in own.values()))
-        blank = [p for p in missing if p[-1].isspace()]
+        missing = set().union(*(set(c) - self.young.keys() for c in own.values()))
+        blank = [p for p in missing if p[-1].isspace()]  # none is in a text whose cuts all hold
         last = dict(zip(blank, self._plain(blank), strict=True))
-        self._meet([p for p in missing if p not in last])
+        self._meet([*(p for p in missing if p not in last), *(used[k] for k in unknown)])
         young = self.young
         for k in unknown:
             raw[k] = young[used[k]]
