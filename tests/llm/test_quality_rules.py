@@ -40,3 +40,14 @@ def test_empty_table_and_clashing_names(spark):
     assert q.filter_documents(docs).columns == docs.columns and q.filter_documents(docs).count() == 0
     one = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), "a", 7, 8, "x")], docs.schema)
     assert q.filter_documents(one).collect() == one.collect()
+
+
+def test_no_text_is_written_on_the_way(spark, tmp_path, monkeypatch):
+    import os
+
+    from traceloom import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(k, "s%d" % (k % 2), " ".join("w%d" % (k + j) for j in range(60))) for k in range(6)], "doc_id long, source string, text string")
+    assert q.filter_documents(docs).count() == 6
+    assert [d.split("-")[0] for d in os.listdir(tmp_path)] == ["hosts"]
